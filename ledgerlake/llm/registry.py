@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import packing, token_counts
+from ledgerlake.llm import fingerprints, packing, quality_rules, token_counts
 from ledgerlake.llm.common import table
 
 
@@ -19,5 +19,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_token_counts": op7_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality_rules, op7_token_counts, op8_fingerprints)}
+ORACLE_SQL = {"op3_quality_rules": quality_rules.ORACLE}
