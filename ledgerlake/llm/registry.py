@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import fingerprints, packing, quality_rules, token_counts
+from ledgerlake.llm import fingerprints, packing, quality_model, quality_rules, token_counts, url_filters
 from ledgerlake.llm.common import table
 
 
@@ -19,6 +19,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: (verdict, host, path prefix)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the row of ``labels`` with its id: blocked if of low quality or toxic."""
+    told = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    found = url_filters.filter_urls(table(spark, sf_dir, "pages"), told, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -27,5 +38,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality_rules, op7_token_counts, op8_fingerprints)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_quality_rules, op7_token_counts, op8_fingerprints, op9_quality_classifier)}
 ORACLE_SQL = {"op3_quality_rules": quality_rules.ORACLE}
