@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import fingerprints, packing, quality_model, quality_rules, token_counts, url_filters
+from ledgerlake.llm import fingerprints, html_text, packing, quality_model, quality_rules, token_counts, url_filters
 from ledgerlake.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,5 +46,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_quality_rules, op7_token_counts, op8_fingerprints, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_quality_rules, op6_html_extraction, op7_token_counts, op8_fingerprints, op9_quality_classifier)}
 ORACLE_SQL = {"op3_quality_rules": quality_rules.ORACLE}
