@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import fingerprints, html_text, packing, quality_model, quality_rules, token_counts, url_filters
+from ledgerlake.llm import fingerprints, html_text, packing, quality_model, quality_rules, similarity_join, token_counts, url_filters
 from ledgerlake.llm.common import table
 
 
@@ -46,5 +46,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_quality_rules, op6_html_extraction, op7_token_counts, op8_fingerprints, op9_quality_classifier)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.link(table(spark, sf_dir, "documents"), shingle=3, percent=90, lower=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_quality_rules, op6_html_extraction, op7_token_counts, op8_fingerprints, op9_quality_classifier, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op3_quality_rules": quality_rules.ORACLE}
