@@ -54,12 +54,13 @@ class Posteriors:
 def fit_posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], *, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Posteriors:
     """Fit on about ``most_rows`` rows of ``labelled`` (id, domain) at most, chosen by a hash of the id.
 
-    Rows of null id or a domain that ``names`` lacks are left out. Without rows of two domains at least, posteriors are
+    Rows of null id or a domain that ``names`` lacks are left out; of several domains of an id the first of ``names``
+    counts. What is broadcast is the sample's ids and domains. Without rows of two domains at least, posteriors are
     the shares of the labelled rows, or equal where there are none.
     """
     told = labelled.select(F.col(labelled.columns[0]).cast("long").alias("doc_id"), F.col(labelled.columns[1]).alias("domain"))
     number = F.array_position(F.array(*map(F.lit, names)), F.col("domain")).cast("int") - 1
-    told = told.withColumn("label", number).where("doc_id is not null and label >= 0")
+    told = told.withColumn("label", number).where("doc_id is not null and label >= 0").groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
     share = min(1.0, most_rows / max(1, sum(counts.values())))
     told = told.where(F.pmod(F.xxhash64("doc_id", F.lit("domains")), F.lit(1 << 20)) <= int(share * (1 << 20))).select("doc_id", "label")
@@ -76,7 +77,7 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], *, mo
                     what.append(np.concatenate([times / max(b - a, 1), stats[i]]))
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.float64()))], ["label", "i", "v"])
 
-    rows = documents_of(docs, id_col=id_col, text_col=text_col).join(told, "doc_id").select("text", "label").mapInArrow(run, "label int, i array<int>, v array<double>")
+    rows = documents_of(docs, id_col=id_col, text_col=text_col).join(F.broadcast(told), "doc_id").select("text", "label").mapInArrow(run, "label int, i array<int>, v array<double>")
     rows = materialize(rows, "labelled")
     prior = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(prior) < 2:

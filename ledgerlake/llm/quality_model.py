@@ -145,17 +145,18 @@ def _measured(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, trees: int = 30, depth: int = 4, bins: int = 64, step: float = 0.2) -> Trees:
     """Fit on about ``most_rows`` labelled rows at most, chosen by a hash of the id.
 
-    Rows with a null id or label are no training rows. Without rows of both labels the score is a constant: the only
+    Rows with a null id or label are no training rows; of several labels of an id the least counts. Without rows of both labels the score is a constant: the only
     label there is, or 0.5 where there is none.
     """
     told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    told = told.groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Trees([], [], 0, float(next(iter(counts), 0.5)))
     share = min(1.0, most_rows / sum(counts.values()))
     if share < 1:
         told = told.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = materialize(_measured(documents_of(docs, id_col=id_col, text_col=text_col).join(told, "doc_id")), "training")
+    rows = materialize(_measured(documents_of(docs, id_col=id_col, text_col=text_col).join(F.broadcast(told), "doc_id")), "training")  # about most_rows pairs of numbers
     if rows.select("label").distinct().count() < 2:
         return Trees([], [], 0, float(rows.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]))
     rows = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features")).coalesce(6)

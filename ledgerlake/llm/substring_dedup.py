@@ -215,16 +215,18 @@ def _cut(text: str, gone: np.ndarray) -> tuple[str, list[dict]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, text (what is kept, its white space unchanged), removed (word spans).
 
+    Columns named in ``keep`` are carried in a struct ``kept``.
+
     A word goes if it is covered by ``window`` consecutive words whose sequence also starts in a document with a smaller
     doc_id; windows are judged on the input. Documents of fewer words keep all, as do null ids (which are no earlier
     document to any); rows of equal id don't remove each other; null text counts as empty; an empty table gives no rows;
     other columns are not read.
     """
-    d = documents_of(docs, id_col=id_col, text_col=text_col)
-    digest = materialize(_digests(d, window), "digests").where("doc_id is not null").where(F.col("n") >= window)
+    d = documents_of(docs, F.struct(*(F.col(c) for c in keep)).alias("kept") if keep else F.lit(False).alias("kept"), id_col=id_col, text_col=text_col)
+    digest = materialize(_digests(d.drop("kept"), window), "digests").where("doc_id is not null").where(F.col("n") >= window)
     first = materialize(digest.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     anchored = digest.join(first, ["n", "s1", "s2"]).select("doc_id", (F.col("doc_id") > F.col("rep")).alias("copy"), "anchors")
     each = anchored.where("not copy").select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
@@ -247,20 +249,21 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
         for batch in batches:
             for part in slices(batch, "text"):
                 texts, told = part.column("text").to_pylist(), [p or [] for p in part.column("passages").to_pylist()]
-                yield finished(part.column("doc_id"), texts, _followed(texts, told, window))
+                yield finished(part, texts, _followed(texts, told, window))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 n = np.diff(Words(part.column("text")).of)
-                yield finished(part.column("doc_id"), texts, [np.full(k, bool(c)) for k, c in zip(n, part.column("copy").to_pylist(), strict=True)])
+                yield finished(part, texts, [np.full(k, bool(c)) for k, c in zip(n, part.column("copy").to_pylist(), strict=True)])
 
-    def finished(ids: pa.Array, texts: list[str], gone: list[np.ndarray]) -> pa.RecordBatch:
+    def finished(part: pa.RecordBatch, texts: list[str], gone: list[np.ndarray]) -> pa.RecordBatch:
         cut = [_cut(t, g) for t, g in zip(texts, gone, strict=True)]
-        cols = [ids, pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([c[0] for c in cut], pa.string()), pa.array([c[1] for c in cut], _SPANS)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "text", "removed"])
+        cols = [part.column("doc_id"), pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([c[0] for c in cut], pa.string()), pa.array([c[1] for c in cut], _SPANS), part.column("kept")]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "text", "removed", "kept"])
 
-    out = "doc_id long, n_words long, n_removed long, text string, removed array<struct<start: long, end: long>>"
-    some = texts.select("doc_id", "text").join(theirs, "doc_id", "left").mapInArrow(follow, out)
-    return some.union(dealt.where("anchors is null").select("doc_id", "text", "copy").mapInArrow(settle, out))
+    out = f"doc_id long, n_words long, n_removed long, text string, removed array<struct<start: long, end: long>>, kept {d.schema['kept'].dataType.simpleString()}"
+    some = texts.select("doc_id", "text", "kept").join(theirs, "doc_id", "left").mapInArrow(follow, out)
+    done = some.union(dealt.where("anchors is null").select("doc_id", "text", "copy", "kept").mapInArrow(settle, out))
+    return done if keep else done.drop("kept")
