@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
+from ledgerlake.config import EngineConfig
+from ledgerlake.plans import analytics
+from ledgerlake.sources.tables import with_views
+
+
+def _on_folder(query):
+    def run(spark, sf_dir):
+        return query(spark, EngineConfig(sf_dir))
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plans in (analytics,):
+    QUERIES |= {name: _on_folder(query) for name, query in _plans.QUERIES.items()}
+    ORACLE_SQL |= {name: with_views(sql) for name, sql in _plans.SQL.items()}
