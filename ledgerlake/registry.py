@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlake.config import EngineConfig
-from ledgerlake.plans import analytics
+from ledgerlake.plans import analytics, versioned
 from ledgerlake.sources.tables import with_views
 
 
@@ -17,6 +17,6 @@ def _on_folder(query):
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (analytics,):
+for _plans in (analytics, versioned):
     QUERIES |= {name: _on_folder(query) for name, query in _plans.QUERIES.items()}
     ORACLE_SQL |= {name: with_views(sql) for name, sql in _plans.SQL.items()}
