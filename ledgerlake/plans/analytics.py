@@ -29,16 +29,15 @@ def _nation_of_region(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     return t.nation(spark, cfg.sf_dir).join(regions, c("n_regionkey") == c("r_regionkey"), "left_semi")
 
 
-def _lines_and_orders(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
-    return t.order_line(spark, cfg.sf_dir).join(t.oorder(spark, cfg.sf_dir), c("ol_o_id") == c("o_id"))
+def _lines_and_orders(spark: SparkSession, cfg: EngineConfig, *, delivered: bool = False) -> DataFrame:
+    return t.order_line(spark, cfg.sf_dir, delivered=delivered).join(t.oorder(spark, cfg.sf_dir), c("ol_o_id") == c("o_id"))
 
 
 def q01(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Delivered lines summed up by line number."""
     n = F.count("*")
     return (
-        t.order_line(spark, cfg.sf_dir)
-        .where(c("ol_delivery_d").isNotNull())
+        t.order_line(spark, cfg.sf_dir, delivered=True)
         .groupBy("ol_number")
         .agg(F.sum("ol_quantity").alias("sum_qty"), _money(c("ol_amount")).alias("sum_amount"), _ratio(F.sum("ol_quantity"), n).alias("avg_qty"), _ratio(F.sum("ol_amount"), n).alias("avg_amount"), n.alias("count_order"))
         .orderBy("ol_number")
@@ -88,7 +87,7 @@ def q05(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def q06(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Revenue of delivered lines of usual quantities."""
-    return t.order_line(spark, cfg.sf_dir).where(c("ol_delivery_d").isNotNull() & c("ol_quantity").between(1, 100_000)).agg(_money(c("ol_amount")).alias("revenue"))
+    return t.order_line(spark, cfg.sf_dir, delivered=True).where(c("ol_quantity").between(1, 100_000)).agg(_money(c("ol_amount")).alias("revenue"))
 
 
 def q07(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
@@ -96,7 +95,7 @@ def q07(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     both = t.nation(spark, cfg.sf_dir).where(c("n_name").isin(cfg["nation"], cfg["other_nation"]))
     su = t.supplier(spark, cfg.sf_dir).join(both.select(c("n_nationkey").alias("su_nationkey"), c("n_name").alias("supp_nation")), "su_nationkey")
     cu = t.customer(spark, cfg.sf_dir).join(both.select(c("n_nationkey").alias("c_nationkey"), c("n_name").alias("cust_nation")), "c_nationkey")
-    j = _lines_and_orders(spark, cfg).where(c("ol_delivery_d").isNotNull()).join(su, c("ol_su_key") == c("su_suppkey")).join(cu, (c("o_c_id") == c("c_id")) & (c("supp_nation") != c("cust_nation")))
+    j = _lines_and_orders(spark, cfg, delivered=True).join(su, c("ol_su_key") == c("su_suppkey")).join(cu, (c("o_c_id") == c("c_id")) & (c("supp_nation") != c("cust_nation")))
     return j.groupBy("supp_nation", "cust_nation", F.year("o_entry_d").cast("long").alias("l_year")).agg(_money(c("ol_amount")).alias("revenue")).orderBy("supp_nation", "cust_nation", "l_year")
 
 
@@ -121,7 +120,7 @@ def q09(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def q10(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Revenue of lines delivered on or after entry, by customer."""
-    sums = _lines_and_orders(spark, cfg).where(c("o_entry_d") <= c("ol_delivery_d")).groupBy("o_c_id").agg(F.sum("ol_amount").alias("m"))
+    sums = _lines_and_orders(spark, cfg, delivered=True).where(c("o_entry_d") <= c("ol_delivery_d")).groupBy("o_c_id").agg(F.sum("ol_amount").alias("m"))
     cu = t.customer(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir), c("c_nationkey") == c("n_nationkey"))
     return sums.join(cu, c("o_c_id") == c("c_id")).select("c_id", "c_last", "c_state", "n_name", c("m").cast("double").alias("revenue")).orderBy(F.desc("revenue"), "c_id")
 
@@ -151,14 +150,14 @@ def q13(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def q14(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Share of promoted items in the revenue of delivered lines, in percent."""
-    lines = t.order_line(spark, cfg.sf_dir).where(c("ol_delivery_d").isNotNull()).join(t.item(spark, cfg.sf_dir), c("ol_i_id") == c("i_id"))
+    lines = t.order_line(spark, cfg.sf_dir, delivered=True).join(t.item(spark, cfg.sf_dir), c("ol_i_id") == c("i_id"))
     promo = F.sum(F.when(c("i_data").startswith(cfg["promo_prefix"]), c("ol_amount")).otherwise(F.lit(0).cast(t.MONEY)))
     return lines.agg(F.round(100.0 * promo.cast("double") / (1 + F.sum("ol_amount").cast("double")), 6).alias("promo_revenue"))
 
 
 def q15(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers of the greatest delivered revenue, ties kept."""
-    per = t.order_line(spark, cfg.sf_dir).where(c("ol_delivery_d").isNotNull()).groupBy("ol_su_key").agg(F.sum("ol_amount").alias("total"))
+    per = t.order_line(spark, cfg.sf_dir, delivered=True).groupBy("ol_su_key").agg(F.sum("ol_amount").alias("total"))
     best = per.agg(F.max("total").alias("best"))  # one row
     top = per.join(F.broadcast(best), c("total") == c("best"))
     return top.join(t.supplier(spark, cfg.sf_dir), c("ol_su_key") == c("su_suppkey")).select("su_suppkey", "su_name", c("total").cast("double").alias("total_revenue")).orderBy("su_suppkey")
@@ -202,7 +201,7 @@ def q20(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers with a surplus of some item: twice the stock exceeds all that was delivered."""
     items = t.item(spark, cfg.sf_dir).where(c("i_data").startswith(cfg["surplus_prefix"]))
     # stock is derived from the same lines: one grouping gives both what was ordered and what was delivered
-    sold = t.order_line(spark, cfg.sf_dir).where(c("ol_delivery_d").isNotNull()).join(items, c("ol_i_id") == c("i_id"), "left_semi").groupBy("ol_i_id", "ol_su_key").agg(F.sum("ol_quantity").alias("q"))
+    sold = t.order_line(spark, cfg.sf_dir, delivered=True).join(items, c("ol_i_id") == c("i_id"), "left_semi").groupBy("ol_i_id", "ol_su_key").agg(F.sum("ol_quantity").alias("q"))
     j = sold.join(t.stock(spark, cfg.sf_dir), (c("ol_i_id") == c("s_i_id")) & (c("ol_su_key") == c("s_su_key"))).where(2 * c("s_quantity") > c("q")).select("s_su_key").distinct()
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir), c("su_nationkey") == c("n_nationkey"))
     return su.join(j, c("su_suppkey") == c("s_su_key"), "left_semi").select("su_suppkey", "su_name", "n_name").orderBy("su_name")

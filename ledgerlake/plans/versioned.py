@@ -27,7 +27,7 @@ def order_base(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def order_log(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Deliveries as updates of their order, in epochs of 90 days; quantities decide which columns are set, some to null."""
-    lines = t.order_line(spark, cfg.sf_dir).where(c("ol_delivery_d").isNotNull())
+    lines = t.order_line(spark, cfg.sf_dir, delivered=True)
     kind = c("ol_quantity").cast("long") % 3
     day = F.date_diff(c("ol_delivery_d").cast("date"), F.lit("1995-01-01").cast("date"))
     # an order's entries of one day are told apart by what they set, so that equal lines are equal entries

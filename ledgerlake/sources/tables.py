@@ -20,10 +20,16 @@ def write(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders; ol_delivery_d is null until delivered. (order, number) is not unique in the fixtures."""
+def order_line(spark: SparkSession, sf_dir: str, *, delivered: bool = False) -> DataFrame:
+    """Lines of orders; ol_delivery_d is null until delivered. (order, number) is not unique in the fixtures.
+
+    ``delivered`` keeps delivered lines only, by filters on stored columns, which the scan takes over.
+    """
     c = F.col
-    return read(spark, sf_dir, "lineitem").select(
+    lines = read(spark, sf_dir, "lineitem")
+    if delivered:
+        lines = lines.where((c("l_linestatus") == "F") & c("l_shipdate").isNotNull())
+    return lines.select(
         c("l_orderkey").alias("ol_o_id"),
         c("l_linenumber").alias("ol_number"),
         c("l_partkey").alias("ol_i_id"),
