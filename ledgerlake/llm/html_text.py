@@ -54,6 +54,9 @@ _TAG_KIND = {t: i for i, kind in enumerate(TAG_KINDS) for t in kind}
 _BREAK = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+LIKELY = 0.2  # a node of less probability than this is open at a cost
+
+
 class Node:
     __slots__ = ("tag", "parent", "kids", "kinds", "above", "depth", "runs", "chars", "words", "linked", "links", "stops", "tags", "n_runs", "start", "own", "label", "hidden")
 
@@ -188,7 +191,7 @@ def measure(page: Page) -> np.ndarray:
     return x
 
 
-def decode(nodes: list[Node], p: np.ndarray, *, open_cost: float = 0.5, hole_cost: float = 1.5) -> list[str]:
+def decode(nodes: list[Node], p: np.ndarray, *, open_cost: float = 0.5, hole_cost: float = 3.0) -> list[str]:
     """Text runs of the kept nodes, in page order.
 
     A node is kept, dropped, or (without text of its own) open, which decides nothing. Below a dropped node everything
@@ -197,7 +200,9 @@ def decode(nodes: list[Node], p: np.ndarray, *, open_cost: float = 0.5, hole_cos
     at = {id(n): i for i, n in enumerate(nodes)}
     logs = np.log(np.clip(p, 1e-4, 1 - 1e-4)), np.log(np.clip(1 - p, 1e-4, 1 - 1e-4))
     yes, no = logs[0].tolist(), logs[1].tolist()
-    kept, dropped, opened = yes[:], no[:], [-open_cost] * len(nodes)
+    # a node that looks like anything but article can't well be open; what holds the whole page always can
+    doubt = [0.0 if n.tag in ("#page", "html", "body") else min(0.0, y - math.log(LIKELY)) for n, y in zip(nodes, yes, strict=True)]
+    kept, dropped, opened = yes[:], no[:], [d - open_cost for d in doubt]
     for i in range(len(nodes) - 1, 0, -1):
         n = nodes[i]
         if n.hidden or not n.chars:
@@ -248,7 +253,7 @@ def compose(blocks: list[str], r: random.Random) -> str:
     plain_tags = ["div", "section"]
 
     def comments() -> str:
-        each = "".join(f'<{t} class="{"" if mute else r.choice(["comment", "reply", "c"])}" data-known="0"><p data-known="0">{e(some(1, 2))}: {sentence()}</p></{t}>' for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 6)))
+        each = "".join(f'<{t} class="{r.choice(["comment", "reply", "user-comment"])}" data-known="0"><p data-known="0">{e(some(1, 2))}: {sentence()}</p></{t}>' for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 6)))
         return box(plain_tags, 8, f'<h3 data-known="0">{e(some(1, 2))}</h3>' + each, 0) if not mute else ""
 
     modules = {
@@ -262,6 +267,10 @@ def compose(blocks: list[str], r: random.Random) -> str:
         "comments": comments,
     }
     body = [par(e(b), 1) for b in blocks]
+    if r.random() < 0.2:  # the plainest layout: semantic tags and nothing else
+        title = f'<h1 data-known="1">{e(blocks[0][:60])}</h1>'
+        ad = f'<div class="ad" data-known="0">{sentence()}</div>' if r.random() < 0.7 else ""
+        return f'<html><body><nav data-known="0">{links()}</nav>{ad}<article data-known="1">{title}{"".join(body)}</article><footer data-known="0">&copy; {sentence()}</footer></body></html>'
     if r.random() < 0.3 and len(blocks) > 2:
         body[1] = f'<ul data-known="1"><li data-known="1">{e(blocks[1])}</li></ul>'
     if r.random() < 0.3:
@@ -278,7 +287,7 @@ def compose(blocks: list[str], r: random.Random) -> str:
     return f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>"
 
 
-def fit(pages: DataFrame, *, html_col: str = "html", most_pages: int = 400, layouts: int = 4, trees: int = 30, depth: int = 5) -> Trees:
+def fit(pages: DataFrame, *, html_col: str = "html", most_pages: int = 400, layouts: int = 5, trees: int = 40, depth: int = 5) -> Trees:
     """Trees fitted on ``layouts`` composed pages for each of about ``most_pages`` pages at most, chosen by a hash of the page."""
     one = pages.select(F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     n = one.count()
@@ -294,7 +303,9 @@ def fit(pages: DataFrame, *, html_col: str = "html", most_pages: int = 400, layo
                 r = random.Random(len(text) * 31 + len(blocks))
                 xs, ys = [], []
                 for _ in range(layouts):
-                    own = r.sample(blocks, r.randint(1, min(len(blocks), 20)))
+                    own = r.sample(blocks, min(len(blocks), r.choice([1, 1, 2, 3, 5, 8, 13, 20])))
+                    if r.random() < 0.25:  # articles of a line or two
+                        own = [" ".join(b.split()[: r.randint(1, 8)]) for b in own[:2]]
                     made = Page(compose(own, r))
                     x = measure(made)
                     known = [i for i, node in enumerate(made.nodes) if node.label is not None]
