@@ -54,7 +54,8 @@ def mine(labelled: DataFrame, *, min_rows: int = 20, min_support: float = 0.001,
         return spark.createDataFrame([], schema)
     # only tokens that are frequent among blocked rows can be part of a rule: fewer, shorter baskets
     often = rows.where("blocked").select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= share * n).select("t")
-    told = rows.select(F.monotonically_increasing_id().alias("r"), "blocked", F.explode("tokens").alias("t")).join(often, "t")
+    numbered = rows.withColumn("r", F.monotonically_increasing_id())  # before tokens are rows of their own
+    told = numbered.select("r", "blocked", F.explode("tokens").alias("t")).join(often, "t")
     baskets = told.groupBy("r").agg(F.collect_set("t").alias("t"), F.max("blocked").alias("blocked"))
     baskets = baskets.select(F.when(F.col("blocked"), F.concat("t", F.array(F.lit(LABEL)))).otherwise(F.col("t")).alias("items"))
     # rows without a frequent token count for the support too: scale it to the baskets that are left
