@@ -4,7 +4,7 @@
    have the same anchor, so only windows around anchors that several documents have can recur.
 2. Those windows are hashed and counted by content; what recurs, in the first document that has it, is merged into
    passages: maximal runs of recurring windows.
-3. Documents are dealt out with the passages whose anchors they have. Each shard of them compiles an Aho-Corasick
+3. Documents are dealt out with the passages that they have a window of. Each shard of them compiles an Aho-Corasick
    automaton (pyahocorasick) of phrases taken from its passages, close enough that every window of a passage holds
    one, streams its documents through it, and follows each phrase found along its passage, word by word. Runs of a
    window's length or more are removed. Hashes only choose candidates; what is removed was compared as text.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import Words, documents_of, materialize, mix, slices
@@ -125,8 +125,6 @@ def _passages(owners: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(part.column("text"))
-                a = Anchors(w, window)
                 rows: list[tuple] = []
                 for i, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
                     words = text.encode().split()
@@ -136,13 +134,11 @@ def _passages(owners: DataFrame, window: int) -> DataFrame:
                         continue
                     cut = np.flatnonzero(np.diff(at) > 1) + 1
                     for first, last in zip(at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])], strict=True):
-                        to = last + window
-                        chosen = np.flatnonzero(a.chosen[w.of[i] + first : w.of[i] + to - a.k + 1]) + w.of[i] + first
-                        rows.append((doc, int(first), b" ".join(words[first:to]).decode(), np.unique(a.grams[chosen]).view(np.int64).tolist()))
-                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())), strict=True)], ["owner", "start", "passage", "anchors"])
+                        rows.append((doc, int(first), b" ".join(words[first : last + window]).decode()))
+                cols = list(zip(*rows, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["owner", "start", "passage"])
 
-    return owners.mapInArrow(run, "owner long, start int, passage string, anchors array<long>")
+    return owners.mapInArrow(run, "owner long, start int, passage string")
 
 
 def _followed(texts: list[str], passages: list[list[str]], window: int) -> list[np.ndarray]:
@@ -237,13 +233,19 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, keep: tuple[str, ...] =
     dealt = materialize(d.join(role, "doc_id", "left"), "dealt")  # the texts with what is known of them
     texts = dealt.where("anchors is not null")
 
-    windows = _windows(texts, window)
+    windows = materialize(_windows(texts, window), "windows")
     owned = windows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
-    starts = owned.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.at").alias("starts"))
+    owned = owned.select("h", "h2", F.col("first.doc_id").alias("owner"), F.col("first.at").alias("at"))
+    # neighbouring windows of an owner are one passage, known by its first
+    by_owner = Window.partitionBy("owner").orderBy("at")
+    owned = owned.withColumn("run", F.col("at") - F.row_number().over(by_owner)).withColumn("start", F.min("at").over(Window.partitionBy("owner", "run")))
+    owned = materialize(owned.select("h", "h2", "owner", "at", "start"), "owned")
+    starts = owned.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("at").alias("starts"))
     passages = materialize(_passages(texts.select("doc_id", "text").join(starts, "doc_id"), window), "passages")
-    met = texts.select("doc_id", F.explode("anchors").alias("anchor")).join(passages.select("owner", "start", F.explode("anchors").alias("anchor")), "anchor")
+    # a window has one owner, so a document meets the passages that it has a window of, and no others
+    met = windows.select("h", "h2", "doc_id").join(owned.select("h", "h2", "owner", "start"), ["h", "h2"])
     met = met.where("owner < doc_id").select("doc_id", "owner", "start").distinct()
-    theirs = met.join(passages.select("owner", "start", "passage"), ["owner", "start"]).groupBy("doc_id").agg(F.collect_set("passage").alias("passages"))
+    theirs = met.join(passages, ["owner", "start"]).groupBy("doc_id").agg(F.collect_set("passage").alias("passages"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
