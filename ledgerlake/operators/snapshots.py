@@ -9,6 +9,7 @@ nulls stay. No window, no sort of rows: partial aggregation reduces a hot key be
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,11 @@ def base_as_log(base: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def _order(column: str | None = None) -> Column:
-    at = F.struct("epoch", "seq")
+    """(epoch, seq) as one decimal: unlike a struct it is updated in place, so that grouping hashes instead of sorting.
+
+    Both are nonnegative.
+    """
+    at = F.col("epoch").cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col("seq")
     return at if column is None else F.when(F.array_contains("changed", column), at)
 
 
@@ -35,9 +40,9 @@ def as_of(base: DataFrame, log: DataFrame, epoch: int | None, *, key: str, colum
     seen = log if epoch is None else log.where(F.col("epoch") <= epoch)
     both = base_as_log(base, key, columns).unionByName(seen.select("epoch", "seq", key, "op", "changed", *columns))
     newest = [F.max_by(c, _order(c)).alias(c) for c in columns]
-    found = both.groupBy(key).agg(*newest, F.max_by("op", _order()).alias("__op"), F.count("*").alias("versions"))
+    found = both.groupBy(key).agg(*newest, F.max_by(F.col("op") == "D", _order()).alias("__gone"), F.count("*").alias("versions"))
     if apply_deletes:
-        found = found.where(F.col("__op") != "D")
+        found = found.where(~F.col("__gone"))
     return found.select(key, *columns, *(["versions"] if with_versions else []))
 
 
