@@ -157,3 +157,30 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+# ---- a filter of fixed size -------------------------------------------------------------------------
+
+FILTER_WORDS = 1 << 20  # of 64 bits: 8 MB, whatever is put in
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of fixed size over the longs in a column. When it fills up it lets more through, never less."""
+    at = F.explode(F.array(F.xxhash64(column, F.lit(1)), F.xxhash64(column, F.lit(2)))).alias("h")
+    bits = ids.select(at).select(F.pmod("h", F.lit(FILTER_WORDS)).cast("int").alias("word"), F.shiftrightunsigned("h", 58).cast("int").alias("bit"))
+    told = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[told.column("word").to_numpy()] = told.column("bits").to_numpy()
+    return out
+
+
+def with_filter_places(df: DataFrame, column: str) -> DataFrame:
+    """Add the hashes that ``passes`` looks up."""
+    return df.withColumn("__h1", F.xxhash64(column, F.lit(1))).withColumn("__h2", F.xxhash64(column, F.lit(2)))
+
+
+def passes(bits: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h1), bool)
+    for h in (h1, h2):
+        ok &= (bits[h % FILTER_WORDS] >> (h.view(np.uint64) >> np.uint64(58)).astype(np.int64)) & 1 == 1
+    return ok

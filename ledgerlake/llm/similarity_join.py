@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Words, documents_of, materialize, mix, slices
+from ledgerlake.llm.common import Words, documents_of, id_filter, materialize, mix, passes, slices, with_filter_places
 from ledgerlake.llm.components import components
 
 FREQUENT = 32  # a token of more groups' prefixes is left to the second join
@@ -81,13 +81,18 @@ def _digests(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
 
 
-def _whole_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
+def _whole_sets(docs: DataFrame, needed: DataFrame, k: int, lower: bool) -> DataFrame:
+    """rep and set of the documents in ``needed``: a filter of fixed size keeps most others out of the shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(needed, "doc_id"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(list(_sets(Words(part.column("text"), lower), k)))], ["rep", "set"])
+            ok = passes(bits.value, batch.column("__h1").to_numpy(), batch.column("__h2").to_numpy())
+            for part in slices(batch.filter(pa.array(ok)), "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(list(_sets(Words(part.column("text"), lower), k)))], ["doc_id", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, set array<long>")
+    found = with_filter_places(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, set array<long>")
+    return found.join(needed, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
 
 
 def _prefixed(df: DataFrame, p: str, *but: str) -> DataFrame:
@@ -151,7 +156,8 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, lower:
 
     # whole sets of the documents that are compared
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(again.where("again").select("rep")).distinct()
-    sets = materialize(_whole_sets(docs.join(needed, "doc_id", "left_semi"), shingle, lower), "sets")
+    needed = materialize(needed, "needed")
+    sets = materialize(_whole_sets(docs, needed, shingle, lower), "sets")
     links = _verify(pairs, sets, percent)
 
     # second join: tokens by rarity among the documents left to it
