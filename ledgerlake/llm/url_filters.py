@@ -90,8 +90,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     ``rules`` are (verdict, host, path prefix); one fits its host and all subdomains, and the longest that fits decides.
     Where none fits, the mined rules decide: block if one fits, else allow (confidence is null where none fits).
     ``labels`` has (id, blocked); null labels are skipped and repeated ones vote each. Null and malformed urls have empty
-    host and path and are allowed unless a mined rule without tokens existed, which never is. Null ids stay null, rows
-    that are repeated are judged each, empty tables give no rows, other columns are not read.
+    host and path, no tokens, and are allowed. Null ids stay null, repeated rows are judged each, empty tables give no
+    rows, other columns are not read.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} stated rules")
