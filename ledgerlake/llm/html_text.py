@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import materialize, slices
 from ledgerlake.llm.quality_model import Trees
 
-HIDDEN = {"script", "style", "head", "template", "noscript", "iframe", "svg", "object"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HIDDEN = {"script", "style", "head", "title", "template", "noscript", "iframe", "svg", "object"}
+#: Start tags that can stand in head; any other ends it, as its end tag may be left out.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var",
@@ -51,6 +53,9 @@ TOKEN_KINDS = [
 ]
 _TOKEN_KIND = {t: i for i, kind in enumerate(TOKEN_KINDS) for t in kind}
 _TAG_KIND = {t: i for i, kind in enumerate(TAG_KINDS) for t in kind}
+_BLOCKS = set(_TAG_KIND) | {"address", "center", "details", "dialog", "figcaption", "figure", "hr", "summary"}
+#: Start tags that end a hidden element whose own end tag is missing; None: any, for what holds no elements.
+_FREES = {"iframe": None, "title": None, "noscript": _BLOCKS, "object": _BLOCKS, "template": _BLOCKS, "svg": _BLOCKS | VOID | INLINE - {"a"}}
 _BREAK = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -58,14 +63,16 @@ LIKELY = 0.2  # a node of less probability than this is open at a cost
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "kinds", "above", "depth", "runs", "chars", "words", "linked", "links", "stops", "tags", "n_runs", "start", "own", "label", "hidden")
+    __slots__ = ("tag", "parent", "kids", "kinds", "above", "depth", "runs", "chars", "words", "linked", "links", "stops", "tags", "n_runs", "start", "own", "label", "hidden", "ended", "veil", "cover")
 
     def __init__(self, tag: str, parent: Node | None, kinds: int, label: str | None):
         self.tag, self.parent, self.kinds, self.label = tag, parent, kinds, label
         self.kids: list[Node] = []
         self.runs: list[list] = []  # [place in the page, pieces of text, characters inside links]
         self.depth = parent.depth + 1 if parent else 0
-        self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
+        self.cover: Node | None = self if tag in HIDDEN else parent and parent.cover  # the nearest hidden element
+        self.hidden = self.cover is not None
+        self.ended, self.veil = False, -1  # by its own end tag; place among the hidden elements
         self.above = parent.above | parent.kinds if parent else 0
         self.chars = self.words = self.linked = self.links = self.stops = self.tags = self.n_runs = self.start = self.own = 0
         if parent:
@@ -73,16 +80,42 @@ class Node:
 
 
 class Page(HTMLParser):
-    """The tree of a page's block elements; whatever is left open or cut off ends with the page."""
+    """The tree of a page's block elements; whatever is left open or cut off ends with the page.
+
+    Head ends with the first tag or text that can't stand in it. Of a hidden element without its own end tag only what
+    precedes the next block is hidden; such elements are known once the page was read, which is then read again. (An
+    open script or style hides the rest, which can't be told from code.)
+    """
 
     def __init__(self, text: str):
         super().__init__(convert_charrefs=True)
+        self.unended: set[int] = set()  # places of such elements among the hidden ones
+        self.read(text)
+        self.unended = {i for i, n in enumerate(self.veils) if n.tag in _FREES and not n.ended}
+        if self.unended:
+            self.reset()
+            self.read(text)
+
+    def read(self, text: str) -> None:
         self.root = self.at = Node("#page", None, 0, None)
-        self.nodes, self.place, self.in_link, self.fresh = [self.root], 0, 0, True
+        self.nodes, self.veils, self.place, self.in_link, self.fresh = [self.root], [], 0, 0, True
         self.feed(text)
         self.close()
 
+    def leave_hidden(self, tag: str) -> None:
+        """End the hidden elements that this start tag (or text: #text) can't stand in."""
+        while self.at.hidden:
+            n = self.at.cover
+            if n.tag == "head":
+                ends = tag not in IN_HEAD
+            else:
+                ends = n.tag in _FREES and n.veil in self.unended and (_FREES[n.tag] is None or tag in _FREES[n.tag])
+            if not ends:
+                return
+            self.at, self.fresh, self.in_link = n.parent, True, 0
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.leave_hidden(tag)
         if tag == "a":
             self.in_link += 1
             self.at.links += 1
@@ -114,6 +147,9 @@ class Page(HTMLParser):
             kinds |= 1 << (len(TOKEN_KINDS) + i)
         self.at = Node(tag, self.at, kinds, label)
         self.nodes.append(self.at)
+        if tag in HIDDEN:
+            self.at.veil = len(self.veils)
+            self.veils.append(self.at)
         self.fresh, self.in_link = True, 0
 
     def handle_endtag(self, tag: str) -> None:
@@ -124,11 +160,14 @@ class Page(HTMLParser):
         n = self.at
         while n is not self.root:
             if n.tag == tag:
+                n.ended = True
                 self.at, self.fresh, self.in_link = n.parent, True, 0
                 return
             n = n.parent
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and not data.isspace():
+            self.leave_hidden("#text")
         if self.at.hidden:
             return
         if self.fresh:

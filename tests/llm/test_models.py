@@ -109,6 +109,37 @@ def test_nothing_below_a_dropped_node_is_kept():
     assert html_text.decode(page.nodes, p) == ["b"]
 
 
+def _shown(text):
+    page = html_text.Page(text)
+    html_text.measure(page)
+    return [t for _, t in sorted(r for n in page.nodes if not n.hidden for r in n.runs)]
+
+
+@pytest.mark.parametrize("text", [
+    "<html><head><title>T</title><style>p{}</style><body><p>a</p><p>b</p></body></html>",
+    "<head><meta charset=x><title>T</title><link rel=y><script>var c='<p>';</script><p>a</p><p>b",
+    "<head><title>T</title>a<p>b</p>",
+    "<html><head><title>T<meta name=z></head><body><p>a</p><p>b</p>",
+    "<head><noscript><img src=x></noscript><title>T</title><body><p>a</p><p>b</p>",
+    "<head><noscript><div><img src=x></div></noscript><title>T</title></head><body><p>a<p>b",
+    "<head><noscript><style>p{}</style><body><p>a</p><p>b</p></body>",
+    "<title>T</title><p>a</p><p>b</p>",
+])
+def test_head_without_its_end_tag(text):
+    assert _shown(text) == ["a", "b"]
+
+
+@pytest.mark.parametrize("veil", ["<noscript>js off", "<iframe src=x>", "<object data=x><param name=y>old", "<svg><g><path d=z>", "<template>t", "<svg><g><object>o"])
+def test_hidden_elements_without_their_end_tag(veil):
+    assert _shown(f"<body><div><p>a</p>{veil}<p>b</p></div><p>c</p></body>") == ["a", "b", "c"]
+    assert _shown(f"<body><p>a{veil}<p>b</p>" + "<noscript><p>n</p></noscript><svg><text>s</text></svg><object><div>o</div></object>" + "<p>c") == ["a", "b", "c"]
+
+
+def test_texts_of_pages_without_end_tags(page_model):
+    want = html_text.main_texts([PAGE], page_model)
+    assert html_text.main_texts([PAGE.replace("</head>", ""), PAGE.replace("</head><body>", ""), PAGE.replace("</header>", "</header><noscript>js off")], page_model) == want * 3
+
+
 def test_extraction_awkward_rows(spark, page_model):
     rows = [(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (2, "u", "<div>" * 3000 + "deep" + "</div>" * 3000), (3, "u", "<script>only</script>"), (4, "u", "<p>" + "word " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
