@@ -10,7 +10,7 @@ from ledgerlake.functions import keys
 from ledgerlake.operators import linkjoin, snapshots, transactions
 from ledgerlake.sources import tables as t
 from ledgerlake.sources.scratch import scratch
-from ledgerlake.streaming.epochs import EpochPipeline, freshness
+from ledgerlake.streaming.epochs import OWN, EpochPipeline, freshness
 
 c = F.col
 COLUMNS = ("delivery_d", "carrier", "last_item")
@@ -182,15 +182,16 @@ def _with_epoch(events: DataFrame) -> DataFrame:
 
 def _streamed(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """The events table read as a stream and committed epoch by epoch."""
-    pipe = EpochPipeline(spark, scratch(spark, "epochs"))
+    pipe = EpochPipeline(spark, scratch(spark, "epochs"), hold=1)
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).parquet(f"{cfg.sf_dir}/events.parque[t]")
     pipe.start(_with_epoch(events)).awaitTermination()
-    return pipe.log(f"{EVENTS}, epoch long")
+    pipe.finish()
+    return pipe.log(f"{EVENTS}, epoch long, {OWN} long")
 
 
 def stream_epochs(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
-    """Entries and value of each epoch, after the whole stream was committed."""
-    return _streamed(spark, cfg).groupBy("epoch").agg(F.count("*").alias("n"), F.sum(c("value").cast("decimal(18,4)")).cast("double").alias("total"))
+    """Entries and value of each epoch that events came with, after the whole stream was committed."""
+    return _streamed(spark, cfg).groupBy(c(OWN).alias("epoch")).agg(F.count("*").alias("n"), F.sum(c("value").cast("decimal(18,4)")).cast("double").alias("total"))
 
 
 def stream_user_state(spark: SparkSession, cfg: EngineConfig) -> DataFrame:

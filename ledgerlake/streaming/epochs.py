@@ -1,8 +1,9 @@
 """Change batches applied epoch by epoch, with Structured Streaming.
 
 Each micro-batch is one commit: late entries (of an epoch that is readable already) are counted from the next epoch on
-rather than dropped, entries are written under the batch's id, replacing what an earlier try wrote, and the newest
-epoch becomes readable with the batch's marker. Readers see whole batches only.
+rather than dropped, with the epoch they came with beside it; entries are written under the batch's id, replacing what
+an earlier try wrote, and the newest epoch becomes readable with the batch's marker, or, where epochs go on over several
+batches (``hold``), once a later epoch was seen or the input has ended. Readers see whole batches only.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlake.operators.snapshots import clamp_late
 
 MARKER = "batch long, read_epoch long, newest timestamp_ntz, entries long"
+OWN = "own_epoch"  # the epoch of an entry before it was moved
 
 
 class EpochPipeline:
-    """A change log under ``path``: ``log/batch=N`` and, once it is whole, ``marks/batch=N``."""
+    """A change log under ``path``: ``log/batch=N`` and, once it is whole, ``marks/batch=N``.
 
-    def __init__(self, spark: SparkSession, path: str, *, ts: str = "ts"):
-        self.spark, self.path, self.ts = spark, path, ts
+    The newest ``hold`` epochs of a batch aren't readable yet, until a later batch or ``finish`` makes them so.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, ts: str = "ts", hold: int = 0):
+        self.spark, self.path, self.ts, self.hold = spark, path, ts, hold
 
     def marks(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/marks")
@@ -37,13 +42,21 @@ class EpochPipeline:
     def commit(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one batch; doing it again has the same result."""
         known = self.read_epoch(batch_id)
-        entries = clamp_late(batch, known + 1)
+        entries = clamp_late(batch.withColumn(OWN, F.col("epoch")), known + 1)
         at = f"{self.path}/log/batch={batch_id}"
         entries.write.mode("overwrite").parquet(at)
         written = self.spark.read.schema(entries.schema).parquet(at)
-        mark = written.agg(F.lit(batch_id).cast("long").alias("batch"), F.greatest(F.max("epoch"), F.lit(known)).cast("long").alias("read_epoch"), F.max(self.ts).alias("newest"), F.count("*").alias("entries"))
+        mark = written.agg(F.lit(batch_id).cast("long").alias("batch"), F.greatest(F.max("epoch") - self.hold, F.lit(known)).cast("long").alias("read_epoch"), F.max(self.ts).alias("newest"), F.count("*").alias("entries"))
         mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch_id}")
 
+    def finish(self) -> None:
+        """Make every epoch readable, after the end of the input; doing it again has the same result."""
+        last = self.marks().agg(F.max("batch")).first()[0]
+        if last is not None:
+            every = self.spark.read.schema("epoch long, batch long").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log").where(F.col("batch") <= last)
+            end = every.agg(F.lit(last).cast("long").alias("batch"), F.greatest(F.max("epoch"), F.lit(self.read_epoch())).alias("read_epoch"), F.lit(None).cast("timestamp_ntz").alias("newest"), F.lit(0).cast("long").alias("entries"))
+            end.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/end={last}")
+
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         """Follow a stream of entries that have the column ``epoch``; by default until what is there has been read."""
         out = stream.writeStream.foreachBatch(self.commit).option("checkpointLocation", f"{self.path}/checkpoint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake.config import EngineConfig
 from ledgerlake.functions import generators, keys
 from ledgerlake.operators import invariants, linkjoin, snapshots, transactions
-from ledgerlake.plans import analytics
+from ledgerlake.plans import analytics, versioned
 from ledgerlake.sources import generator, tables
 from ledgerlake.streaming.epochs import EpochPipeline, freshness
 
@@ -129,6 +129,33 @@ def test_stream_reads_files_in_batches(spark, tmp_path):
     assert freshness(log, 3600).first().epochs >= 1
 
 
+def test_held_epochs_are_readable_once_a_later_one_was_seen(spark, tmp_path):
+    pipe = EpochPipeline(spark, str(tmp_path / "p"), hold=1)
+    batch = lambda *r: spark.createDataFrame([(e, dt.datetime(2024, 1, 1, e), v) for e, v in r], "epoch long, ts timestamp_ntz, v long")
+    pipe.commit(batch((1, 1), (2, 2)), 0)
+    assert pipe.read_epoch() == 1
+    pipe.commit(batch((1, 3), (2, 4), (5, 5)), 1)
+    assert pipe.read_epoch() == 4
+    pipe.finish()
+    pipe.finish()  # tried again
+    got = sorted(tuple(r) for r in pipe.log("epoch long, ts timestamp_ntz, v long, own_epoch long").select("own_epoch", "epoch", "v").collect())
+    assert got == [(1, 1, 1), (1, 2, 3), (2, 2, 2), (2, 2, 4), (5, 5, 5)] and pipe.read_epoch() == 5 and pipe.read_epoch(1) == 1
+
+
+def test_stream_epochs_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    for hours in ([3, 9, 30], [4, 10], [8, 40], [1, 31], [2, 9, 41], [5, 7, 29], [0, 50]):  # epochs of six hours, out of order
+        rows = [(h, start + dt.timedelta(hours=h), 1, "x", 1.5 * h, "{}") for h in hours]
+        spark.createDataFrame(rows, versioned.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = {r.epoch: (r.n, r.total) for r in versioned.stream_epochs(spark, EngineConfig(str(tmp_path))).collect()}
+    want: dict = {}
+    for h in [3, 9, 30, 4, 10, 8, 40, 1, 31, 2, 9, 41, 5, 7, 29, 0, 50]:
+        e = int((start - dt.datetime(1970, 1, 1)).total_seconds() // 21600) + h // 6
+        n, total = want.get(e, (0, 0.0))
+        want[e] = (n + 1, total + 1.5 * h)
+    assert got == want
+
+
 def test_config_overrides_defaults():
     cfg = EngineConfig("x", params={"nation": "N"})
     assert cfg["nation"] == "N" and cfg["carrier_over"] == 3
