@@ -37,11 +37,11 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(kept(F.split(host, r"\."), "h:"), kept(F.split(host, r"[.-]"), "h:"), kept(segments, "p:")))
 
 
-def mine(labelled: DataFrame, *, min_rows: int = 20, min_support: float = 0.001, min_confidence: float = 0.8, most_tokens: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, *, min_rows: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) that imply ``blocked``, from rows (tokens, blocked).
 
-    A rule holds for at least ``min_rows`` rows and that share of the rows, and has at most ``most_tokens`` tokens. No
-    rows, or none that is blocked, give no rules. A null ``blocked`` is no label.
+    A rule holds for at least ``min_rows`` rows, however many there are, and has any number of tokens. No rows, or none
+    that is blocked, give no rules. A null ``blocked`` is no label.
     """
     spark = labelled.sparkSession
     schema = "rule_id long, tokens array<string>, confidence double, support double"
@@ -49,21 +49,20 @@ def mine(labelled: DataFrame, *, min_rows: int = 20, min_support: float = 0.001,
     n, bad = rows.agg(F.count("*"), F.count_if("blocked")).first()
     if not bad:
         return spark.createDataFrame([], schema)
-    share = max(min_support, min_rows / n)
-    if share > 1:
+    if min_rows > n:
         return spark.createDataFrame([], schema)
     # only tokens that are frequent among blocked rows can be part of a rule: fewer, shorter baskets
-    often = rows.where("blocked").select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= share * n).select("t")
+    often = rows.where("blocked").select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= min_rows).select("t")
     numbered = rows.withColumn("r", F.monotonically_increasing_id())  # before tokens are rows of their own
     told = numbered.select("r", "blocked", F.explode("tokens").alias("t")).join(often, "t")
     baskets = told.groupBy("r").agg(F.collect_set("t").alias("t"), F.max("blocked").alias("blocked"))
     baskets = baskets.select(F.when(F.col("blocked"), F.concat("t", F.array(F.lit(LABEL)))).otherwise(F.col("t")).alias("items"))
-    # rows without a frequent token count for the support too: scale it to the baskets that are left
+    # rows without a frequent token count for the support too
     left = baskets.count()
     if not left:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, share * n / left), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(LABEL))) & (F.size("antecedent") <= most_tokens))
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, min(1.0, (min_rows - 0.5) / left)), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL)))
     found = materialize(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * left / n).alias("support")), "url-rules")
     # a rule is covered by one with a part of its tokens and no less confidence
     parts = found.select(F.col("tokens").alias("whole"), F.col("confidence").alias("c"), F.explode("tokens").alias("first"))

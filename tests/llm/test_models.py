@@ -61,6 +61,14 @@ def test_url_rules_are_frequent_confident_and_irredundant(spark):
     assert found == {("h:a",): 1.0, ("h:x",): 1.0, ("h:y",): 1.0}
 
 
+def test_url_rules_of_rare_hosts_in_large_tables_and_of_many_tokens(spark):
+    five = [f"p:{x}" for x in "abcde"]
+    rows = [(["h:rare"], True)] * 25 + [(["h:few"], True)] * 19 + [(["h:big"], False)] * 30_000
+    rows += [(five, True)] * 30 + [(five[:i] + five[i + 1 :], False) for i in range(5)] * 20
+    found = {(tuple(r.tokens), round(r.support * len(rows))) for r in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()}
+    assert found == {(("h:rare",), 25), (tuple(five), 30)}
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><div id="cookie-notice">We use cookies &amp; more.</div><header class="site-header"><h2>Daily</h2></header>
 <div class="content"><h1>Big   story</h1><p>The council met on Tuesday to discuss the new plan for the harbour, and many people came.<p>A&amp;B short.</p><div class="ad">Buy now cheap!</div>
 <p>Another paragraph with enough text to be seen as prose, which goes on for a while, and ends.</p></div><div class="comments"><h3>Comments</h3><div class="comment"><p>I think it should have met earlier.</p></div></div>
