@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +24,113 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master may go without, not a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^-].*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-ledgerlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)  # folders written in the innermost open scope
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as a compressed table in the shared folder and read it back, which cuts its lineage.
+
+    What was shuffled for it is deleted at once, since nothing will ask for it again.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/ledgerlake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(at)  # a plan of its own, made under that setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if (made := _MADE.get()) is not None:
+        made.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for at in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders_of(df: DataFrame) -> set[str]:
+    """Folders written by ``materialize`` that a table reads."""
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/ledgerlake/" in f}
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and nobody reads any more."""
-    spark = df.sparkSession
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/ledgerlake/" in at:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, folders_of(df))
+
+
+class Scope:
+    """Tables that are materialized inside ``with Scope(spark) as s`` are deleted at its end, but for those that
+    ``s.keep`` was given, which the surrounding scope then has."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scope:
+        self.outer, self.token = _MADE.get(), _MADE.set(self.made)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept |= {f.rsplit("/", 1)[1] for f in folders_of(df)}
+        return df
+
+    def __exit__(self, *_) -> None:
+        _MADE.reset(self.token)
+        stay = [at for at in self.made if at.rsplit("/", 1)[1] in self.kept]
+        if self.outer is not None:
+            self.outer += stay
+        delete(self.spark, (at for at in self.made if at not in stay))
+
+
+def few_parts(sample: DataFrame) -> DataFrame:
+    """A bounded sample in as many partitions as there are cores, eight at most."""
+    return sample.coalesce(max(1, min(8, sample.sparkSession.sparkContext.defaultParallelism)))
+
+
+HOT_KEYS = 10_000
+
+
+def join_by_count(rows: DataFrame, keys: DataFrame, on: list[str], count: str = "rows", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, a written table of one row a key that says in ``count`` how many of ``rows`` have it.
+
+    Keys that hold more than one in HOT_KEYS of all rows are at most so many; they are broadcast, so that their rows stay
+    where they are. Rows of the others are shuffled, of which no key has more than that share. ``count`` is dropped.
+    """
+    total = keys.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(64, total // HOT_KEYS)
+    hot, rest = keys.where(F.col(count) > least).drop(count), keys.where(F.col(count) <= least).drop(count)
+    met = rows.join(F.broadcast(hot), on)
+    return met.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
+
+
+def hot_parts(rows: DataFrame, on: str) -> DataFrame:
+    """Keys with more than one in HOT_KEYS of all rows (a written table), and in how many parts to deal theirs out."""
+    least = max(64, rows.count() // HOT_KEYS)
+    return rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > least).select(on, F.ceil(F.col("n") / least).cast("int").alias("__parts"))
+
+
+def join_wide(rows: DataFrame, keys: DataFrame, on: str, by: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys``, which has one row a key, but a long one.
+
+    Rows of keys in ``hot`` (``hot_parts``) are dealt out by the column ``by`` over copies of the key's row; there are at
+    most two such copies for each HOT_KEYS-th part of the rows.
+    """
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copied = keys.join(F.broadcast(hot), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [on, "__part"]).drop("__part")
 
 
 def documents_of(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import materialize, slices
+from ledgerlake.llm.common import few_parts, materialize, slices
 from ledgerlake.llm.quality_model import Trees
 
 HIDDEN = {"script", "style", "head", "title", "template", "noscript", "iframe", "svg", "object"}
@@ -355,8 +355,8 @@ def fit(pages: DataFrame, *, html_col: str = "html", most_pages: int = 400, layo
     rows = materialize(chosen.mapInArrow(run, "label int, x array<double>"), "training-nodes")
     if rows.select("label").distinct().count() < 2:
         return Trees([], [], 0, 0.5)
-    data = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features")).coalesce(6)
-    return Trees.of(GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, minInstancesPerNode=5, featureSubsetStrategy="all", seed=1).fit(data))
+    data = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    return Trees.of(GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, minInstancesPerNode=5, featureSubsetStrategy="all", seed=1).fit(few_parts(data)))
 
 
 def main_texts(htmls: list[str], model: Trees) -> list[str]:

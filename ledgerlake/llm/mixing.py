@@ -5,7 +5,8 @@ statistics) gives every document posteriors over domains. Nonnegative rates are
 tokens of each domain, sum of rate * tokens * posterior, match the targets: least squares by projected gradient, in
 the metric in which an unconstrained step is exact. A document's rate after some steps depends on its posteriors and
 the steps' gradients only, so a step is one distributed sum of as many numbers as there are domains, and nothing but
-such sums passes the driver.
+such sums passes the driver. A document is then drawn as many times as its rate says: whole copies, and one more with
+the rest as its chance.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Words, documents_of, materialize, mix, slices
+from ledgerlake.llm.common import Words, documents_of, few_parts, materialize, mix, slices
 from ledgerlake.llm.quality_model import STATISTICS, statistics
+from ledgerlake.llm.token_counts import counter
 
 BUCKETS = 1 << 15  # of hashed words
 _SHIFT = np.uint64(64 - 15)
@@ -36,8 +38,8 @@ class Posteriors:
     def __init__(self, names: list[str], coefficients: np.ndarray | None, intercepts: np.ndarray):
         self.names, self.coefficients, self.intercepts = names, coefficients, intercepts
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words, and the posteriors of the domains, of each text."""
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """The posteriors of the domains of each text."""
         w = Words(texts)
         n = np.diff(w.of)
         logit = np.tile(self.intercepts, (len(n), 1))
@@ -46,9 +48,9 @@ class Posteriors:
             for i, row in enumerate(self.coefficients):
                 total = np.concatenate([[0.0], np.cumsum(row[at])])
                 logit[:, i] += (total[w.of[1:]] - total[w.of[:-1]]) / np.maximum(n, 1)
-            logit += statistics(texts) @ self.coefficients[:, BUCKETS:].T
+            logit += statistics(texts, w) @ self.coefficients[:, BUCKETS:].T
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        return n, p / p.sum(axis=1, keepdims=True)
+        return p / p.sum(axis=1, keepdims=True)
 
 
 def fit_posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], *, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Posteriors:
@@ -69,7 +71,7 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], *, mo
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
-                at, stats = _buckets(w), statistics(part.column("text"))
+                at, stats = _buckets(w), statistics(part.column("text"), w)
                 where, what = [], []
                 for i, (a, b) in enumerate(zip(w.of[:-1], w.of[1:], strict=True)):
                     found, times = np.unique(at[a:b], return_counts=True)
@@ -84,8 +86,8 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], *, mo
         known = np.array([prior.get(i, 0) for i in range(len(names))], float)
         return Posteriors(names, None, np.log(np.maximum(known, 1e-9) if known.any() else np.ones(len(names))))
     sparse = F.udf(lambda i, v: Vectors.sparse(BUCKETS + len(STATISTICS), i, v), VectorUDT())  # a bounded sample's rows
-    data = rows.select(F.col("label").cast("double").alias("label"), sparse("i", "v").alias("features")).coalesce(6)
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(data)
+    data = rows.select(F.col("label").cast("double").alias("label"), sparse("i", "v").alias("features"))
+    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(few_parts(data))
     # domains beyond the last label that was seen have no coefficients: as unlikely as the least likely one
     seen = model.coefficientMatrix.toArray()
     coefficients, intercepts = np.zeros((len(names), seen.shape[1])), np.full(len(names), -30.0)
@@ -100,8 +102,9 @@ def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, *, most_steps: int = 50, tolerance: float = 1e-4) -> np.ndarray:
-    """Gradient steps (one row each) after which rates match the targets, from rows (tokens, p)."""
+def fit_rates(members: DataFrame, targets: np.ndarray, *, most_steps: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient steps (one row each) after which rates match the targets, from rows (tokens, p); and the expected tokens
+    of each domain that these rates give."""
     k = len(targets)
 
     def summed(what) -> np.ndarray:
@@ -121,25 +124,41 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, most_steps: int = 50,
     gram = summed(lambda n, p: (p * n[:, None]).T @ p)
     steps = np.zeros((0, k))
     if not len(gram) or not gram.any():
-        return steps
+        return steps, np.zeros(k)
     scale = np.linalg.pinv(gram.reshape(k, k))
+    expected = lambda steps: summed(lambda n, p: (_rates(p, steps) * n) @ p)
+    now = expected(steps)
     for _ in range(most_steps):
-        now = summed(lambda n, p, steps=steps: (_rates(p, steps) * n) @ p)
         if np.abs(now - targets).max() <= tolerance * max(targets.sum(), 1.0):
             break
         steps = np.vstack([steps, scale @ (now - targets)])
-    return steps
+        now = expected(steps)
+    return steps, now
 
 
 def mix_to_targets(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, total: float = 1.0, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", fitting: dict | None = None, **stepping
+    docs: DataFrame,
+    labelled: DataFrame,
+    weights: dict[str, float],
+    *,
+    tokenizer_path: str,
+    total: float = 1.0,
+    whole: str | None = None,
+    keep: tuple[str, ...] = (),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    fitting: dict | None = None,
+    **stepping,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, tokens (words), p_<domain> for each of ``weights``, rate, after the columns ``keep``.
+    """Per row of ``docs``: doc_id, tokens, p_<domain> for each of ``weights``, rate, residual, after the columns ``keep``.
 
-    Targets are ``weights``, scaled to sum to ``total`` times all tokens. A rate is the expected number of times to take
-    the document; every row gets one, and documents of the same posteriors get the same. Where the targets can't be met
-    by nonnegative rates, these are the rates of least squares. Null texts count as empty (no tokens), null ids stay
-    null, repeated rows are members each, an empty table gives no rows; other columns than ``keep`` aren't read.
+    Tokens are those of the tokenizer's file. Targets are ``weights``, scaled to sum to ``total`` times all tokens, or,
+    with ``whole``, so that this domain's target is ``total`` times its own expected tokens. A rate is the expected
+    number of times to take the document; every row gets one, and documents of the same posteriors get the same. Where
+    the targets can't be met by nonnegative rates, these are the rates of least squares; ``residual`` is the greatest
+    difference of a domain's expected tokens from its target, as a share of the target's sum. Null texts count as empty
+    (no tokens), null ids stay null, repeated rows are members each, an empty table gives no rows; other columns than
+    ``keep`` aren't read.
 
     The posteriors (with ``keep``) are written once to the shared folder; each step reads its numbers.
     """
@@ -149,17 +168,24 @@ def mix_to_targets(
     kept = [f for f in d.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "__text"):
-                n, p = model(part.column("__text"))
-                cols = [*(part.column(f.name) for f in kept), part.column("__id"), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))]
+                p = model(part.column("__text"))
+                n = [count(t) for t in part.column("__text").to_pylist()]
+                cols = [*(part.column(f.name) for f in kept), part.column("__id"), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in kept), "doc_id", "tokens", "p"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "doc_id long, tokens long, p array<double>"])
     members = materialize(d.mapInArrow(run, schema), "members")
-    every = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    sums = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(names)))).first()
     wanted = np.array([weights[c] for c in names], float)
-    steps = fit_rates(members, wanted / wanted.sum() * total * every, **stepping)
+    if whole is None:
+        targets = wanted / wanted.sum() * total * sums[0]
+    else:
+        targets = wanted / weights[whole] * total * sums[1 + names.index(whole)]
+    steps, reached = fit_rates(members, targets, **stepping)
+    residual = float(np.abs(reached - targets).max() / max(targets.sum(), 1.0))
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,4 +193,15 @@ def mix_to_targets(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, steps))], [*batch.schema.names, "rate"])
 
     out = members.mapInArrow(rated, schema + ", rate double")
-    return out.select(*(F.col(f.name).alias(f.name.removeprefix("__keep_")) for f in kept), *(["doc_id"] if "doc_id" not in keep else []), "tokens", *(F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(names)), "rate")
+    told = [F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(names)]
+    return out.select(*(F.col(f.name).alias(f.name.removeprefix("__keep_")) for f in kept), *(["doc_id"] if "doc_id" not in keep else []), "tokens", *told, "rate", F.lit(residual).alias("residual"))
+
+
+def draw(rated: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``rated`` as many times as ``rate`` says: floor(rate) times, and once more with the rest as chance.
+
+    The chance is a hash of the columns ``by``, so that a draw can be repeated; rows that agree in them are drawn alike.
+    """
+    chance = F.pmod(F.xxhash64(*by, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return rated.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__copy")

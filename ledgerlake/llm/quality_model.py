@@ -7,7 +7,6 @@ walks all rows of a batch through a tree at once. One pass over the texts, no sh
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Words, documents_of, materialize, mix, slices
+from ledgerlake.llm.common import Words, documents_of, few_parts, materialize, mix, slices
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_spread", "longest_word", "upper", "digits", "symbols", "marks", "stops", "commas",
@@ -48,9 +47,9 @@ def _distinct(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text[order[first]], minlength=n).astype(float)
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
-    """One row of STATISTICS for each text; all finite, zeros for an empty text."""
-    w, n = Words(texts), len(texts)
+def statistics(texts: pa.Array, w: Words | None = None) -> np.ndarray:
+    """One row of STATISTICS for each text (``w``: its words, if they are known); all finite, zeros for an empty text."""
+    w, n = w or Words(texts), len(texts)
     size = np.diff(w.offsets).astype(float)
     words = np.diff(w.of).astype(float)
     per_word, per_byte = 1 / np.maximum(words, 1), 1 / np.maximum(size, 1)
@@ -95,7 +94,7 @@ class Trees:
 
     @classmethod
     def of(cls, model) -> Trees:
-        return cls([flatten(t.toDebugString) for t in model.trees], list(model.treeWeights), max((t.depth for t in model.trees), default=0))
+        return cls([flatten(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights), max((t.depth for t in model.trees), default=0))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -109,25 +108,20 @@ class Trees:
         return 1 / (1 + np.exp(-2 * total))  # the loss that the trees were boosted for
 
 
-def flatten(told: str) -> tuple[np.ndarray, ...]:
-    """Arrays of a regression tree from its printed form."""
-    lines = [re.match(r"\s*(?:(If|Else) \(feature (\d+) (?:<=|>) (\S+)\)|Predict: (\S+))$", x) for x in told.splitlines()]
-    todo = iter([m for m in lines if m])
+def flatten(root) -> tuple[np.ndarray, ...]:
+    """Arrays of a fitted regression tree, from its root node. All splits are of numbers."""
     nodes: list[list[float]] = []
 
-    def read() -> int:
-        m, me = next(todo), len(nodes)
-        nodes.append([0, 0.0, me, me, 0.0])
-        if m[4] is not None:
-            nodes[me][4] = float(m[4])
-            return me
-        left = read()
-        next(todo)  # its Else
-        right = read()
-        nodes[me][:4] = [int(m[2]), float(m[3]), left, right]
+    def read(node) -> int:
+        me = len(nodes)
+        nodes.append([0, 0.0, me, me, node.prediction()])
+        if node.subtreeDepth():
+            split = node.split()
+            nodes[me][:2] = [split.featureIndex(), split.threshold()]
+            nodes[me][2:4] = [read(node.leftChild()), read(node.rightChild())]
         return me
 
-    read()
+    read(root)
     f, t, a, b, v = zip(*nodes, strict=True)
     return np.array(f, np.int32), np.array(t), np.array(a, np.int32), np.array(b, np.int32), np.array(v)
 
@@ -159,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
     rows = materialize(_measured(documents_of(docs, id_col=id_col, text_col=text_col).join(F.broadcast(told), "doc_id")), "training")  # about most_rows pairs of numbers
     if rows.select("label").distinct().count() < 2:
         return Trees([], [], 0, float(rows.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]))
-    rows = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features")).coalesce(6)
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=step, minInstancesPerNode=5, featureSubsetStrategy="all", seed=1).fit(rows)
+    rows = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=step, minInstancesPerNode=5, featureSubsetStrategy="all", seed=1).fit(few_parts(rows))
     return Trees.of(model)
 
 

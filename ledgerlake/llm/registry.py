@@ -26,7 +26,7 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS)
+    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_join.link(table(spark, sf_dir, "documents"), shingle=3, percent=90, lower=True)
+    return similarity_join.link(table(spark, sf_dir, "documents"), shingle=3, percent=90, lower=True).drop("text_key")
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_quality_rules, op4_mixing, op5_substring_dedup, op6_html_extraction, op7_token_counts, op8_fingerprints, op9_quality_classifier, op10_ngram_jaccard_join)}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Words, documents_of, id_filter, materialize, mix, passes, slices, with_filter_places
+from ledgerlake.llm.common import Scope, Words, documents_of, hot_parts, id_filter, join_by_count, join_wide, materialize, mix, passes, slices, with_filter_places
 from ledgerlake.llm.components import components
 
 FREQUENT = 32  # a token of more groups' prefixes is left to the second join
@@ -75,10 +75,10 @@ def _digests(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
                     h1.append(mix(s).sum(dtype=np.uint64))
                     h2.append(mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64))
                     prefix.append(s[: len(s) - _least(len(s), percent) + _more(len(s), percent)])
-                cols = [part.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), _list(prefix)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "h1", "h2", "prefix"])
+                cols = [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), _list(prefix)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "h1", "h2", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n long, h1 long, h2 long, prefix array<long>")
 
 
 def _whole_sets(docs: DataFrame, needed: DataFrame, k: int, lower: bool) -> DataFrame:
@@ -100,14 +100,18 @@ def _prefixed(df: DataFrame, p: str, *but: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs (a, b) whose sets are similar enough. Pairs of a hub are dealt out over copies of its set."""
+    x = materialize(pairs, "candidates")
+    hot = {side: hot_parts(x, side) for side in ("a", "b")}  # a hub may be either end
+    for side, other in (("a", "b"), ("b", "a")):
+        x = join_wide(x, sets.select(F.col("rep").alias(side), F.col("set").alias(f"s{side}")), side, other, hot[side])
     both = F.size(F.array_intersect("sa", "sb"))
     return x.where(both * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
 
 
 def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included), and
+    text_key (xxhash64 of the text, which tells rows of one id apart).
 
     Two documents link if 100 * |intersection| >= percent * |union| of their shingle sets. With fewer words than a
     shingle the whole sequence is one; without words (or with null text) the set is empty and links with nothing. A
@@ -115,18 +119,23 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, lower: bool =
     ``lower`` folds A-Z. An empty table gives no rows; other columns are not read.
     """
     d = documents_of(docs, id_col=id_col, text_col=text_col)
-    digest = materialize(_digests(d, shingle, percent, lower), "digests")
-    some = digest.where("n > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "h1", "h2"]).dropDuplicates(["doc_id", "n", "h1", "h2"])
-    reps = reps.select(F.col("doc_id").alias("rep"), "n", "copies", "prefix", F.xxhash64("prefix").alias("ph"))
-    groups = reps.groupBy("n", "ph").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    reps = materialize(reps.join(groups, ["n", "ph"]).drop("ph"), "representatives")
-    links = _links(d, reps, shingle, percent, lower)
-    found = components(links).select(F.col("node").alias("rep"), "label")
-    out = digest.select("doc_id", "n", "h1", "h2").join(classes.drop("copies"), ["n", "h1", "h2"], "left").join(found, "rep", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    with Scope(d.sparkSession) as scope:
+        digest = materialize(_digests(d, shingle, percent, lower), "digests")
+        linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+        some = digest.where(linkable)
+        rows = F.count("*").alias("rows")
+        classes = materialize(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+        reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "h1", "h2"]).dropDuplicates(["doc_id", "n", "h1", "h2"])
+        reps = materialize(reps.select(F.col("doc_id").alias("rep"), "n", "copies", "prefix", F.xxhash64("prefix").alias("ph")), "representatives")
+        groups = materialize(reps.groupBy("n", "ph").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), rows), "groups")
+        reps = materialize(join_by_count(reps, groups, ["n", "ph"]).drop("ph"), "grouped")
+        links = _links(d, reps, shingle, percent, lower)
+        found = components(links).select(F.col("node").alias("rep"), "label")
+        labelled = classes.join(found, "rep", "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("component_id"), F.col("copies").alias("rows"))
+        mine = join_by_count(some.select("doc_id", "text_key", "n", "h1", "h2"), materialize(labelled, "labelled"), ["n", "h1", "h2"])
+        alone = digest.where(~linkable).withColumn("component_id", F.col("doc_id"))
+        out = [x.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key") for x in (mine, alone)]
+        return scope.keep(materialize(out[0].unionByName(out[1]), "linked"))
 
 
 def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, lower: bool) -> DataFrame:
@@ -136,8 +145,9 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, lower:
 
     # groups, their prefix tokens and how many groups have each
     entries = reps.where("rep = gid").select(F.explode("prefix").alias("token"), "gid", "n", "members")
-    shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    live = materialize(entries.join(shared, "token"), "postings")
+    df = F.count("*")
+    shared = materialize(entries.groupBy("token").agg(df.alias("df"), df.alias("rows")).where("df > 1"), "frequencies")
+    live = materialize(join_by_count(entries, shared, ["token"]), "postings")
     often = live.groupBy("gid").agg(F.sum((F.col("df") > FREQUENT).cast("long")).alias("often"))
     again = reps.join(often, "gid", "left").withColumn("often", F.coalesce("often", F.lit(0)))
     again = again.withColumn("again", (F.col("members") > 1) | (F.col("often") >= more(least(F.col("n")))))
@@ -158,13 +168,13 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, lower:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(again.where("again").select("rep")).distinct()
     needed = materialize(needed, "needed")
     sets = materialize(_whole_sets(docs, needed, shingle, lower), "sets")
-    links = _verify(pairs, sets, percent)
+    links = materialize(_verify(pairs, sets, percent), "links")
 
     # second join: tokens by rarity among the documents left to it
     hard = again.where("again").select("rep", "n", "copies")
-    tokens = sets.join(hard, "rep").select("rep", "n", "copies", F.explode("set").alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(df, "token").groupBy("rep", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    tokens = materialize(sets.join(hard, "rep"), "second-sets").select("rep", "n", "copies", F.explode("set").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(df.alias("df"), df.alias("rows")).where("df > 1"), "frequencies")
+    ranked = join_by_count(tokens, shared, ["token"]).groupBy("rep", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     alone = F.col("n") - F.size("t")  # tokens of no other document come first
     inside = F.greatest(F.col("n") - least(F.col("n")) + 1 - alone, F.lit(0)).cast("int")
     ranked = ranked.select("rep", "n", "copies", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), inside)).alias("i", "x"))
@@ -172,21 +182,24 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, lower:
     largest = F.floor((F.col("n") - F.col("alone") - F.col("i")) * (100 + percent) / percent).cast("long") - F.col("n")
     postings = ranked.select("rep", "n", "copies", F.col("x.token").alias("token"), largest.alias("upto"))
     postings = materialize(postings.where(F.col("upto") >= least(F.col("n"))), "second-postings")
-    hubs = postings.groupBy("token").agg(F.max_by("rep", F.struct("copies", -F.col("rep"))).alias("hub"), F.max_by("n", F.struct("copies", -F.col("rep"))).alias("hub_n"))
-    star = postings.join(hubs, "token").where((F.col("rep") != F.col("hub")) & close(F.col("n"), F.col("hub_n")))
+    hub = F.max(F.struct("copies", -F.col("rep"), "n")).alias("hub")
+    hubs = postings.groupBy("token").agg(hub, df.alias("rows")).select("token", (-F.col("hub.col2")).alias("hub"), F.col("hub.n").alias("hub_n"), "rows")
+    hubs = materialize(hubs, "hubs")
+    star = join_by_count(postings, hubs, ["token"]).where((F.col("rep") != F.col("hub")) & close(F.col("n"), F.col("hub_n")))
     star = star.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = materialize(links.union(_verify(star, sets, percent)), "links")
 
     # the rest: pairs of a posting list that are not in one component yet
     label = components(links).select(F.col("node").alias("rep"), "label")
     marked = postings.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    led = hubs.select("token", F.col("hub").alias("rep")).join(label, "rep", "left").select("token", F.coalesce("label", "rep").alias("lead"))
-    marked = materialize(marked.join(led, "token"), "marked")
-    mixed = marked.where("label <> lead").select("token").distinct()
+    led = hubs.select("token", F.col("hub").alias("rep"), "rows").join(label, "rep", "left").select("token", F.coalesce("label", "rep").alias("lead"), "rows")
+    marked = materialize(join_by_count(marked, materialize(led, "leads"), ["token"]), "marked")
+    mixed = marked.groupBy("token").agg(df.alias("rows"), F.count_if(F.col("label") != F.col("lead")).alias("odd")).where("odd > 0")
+    mixed = materialize(mixed.drop("odd"), "mixed")
     size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02))).cast("int")
     side = marked.select("token", "rep", "n", "upto", "label", "lead")
     one = _prefixed(side.where("label <> lead"), "a", "token").withColumn("sc", F.explode(F.sequence(size_class(least(F.col("a_n"))), size_class(F.col("a_upto")))))
-    other = _prefixed(side.join(mixed, "token", "left_semi"), "b", "token").withColumn("sc", size_class(F.col("b_n")))
+    other = _prefixed(join_by_count(side, mixed, ["token"]), "b", "token").withColumn("sc", size_class(F.col("b_n")))
     fits = (F.col("a_label") != F.col("b_label")) & close(F.col("a_n"), F.col("b_n")) & (F.col("b_n") <= F.col("a_upto")) & (F.col("a_n") <= F.col("b_upto"))
     rest = one.join(other, ["token", "sc"]).where(fits).select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
     return materialize(links.union(_verify(rest, sets, percent)), "links")

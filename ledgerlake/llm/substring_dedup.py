@@ -2,30 +2,34 @@
 
 1. Content-chosen anchors: of each window's grams of half its length the one of least hash. Windows of the same words
    have the same anchor, so only windows around anchors that several documents have can recur.
-2. Those windows are hashed and counted by content; what recurs, in the first document that has it, is merged into
-   passages: maximal runs of recurring windows.
-3. Documents are dealt out with the passages that they have a window of. Each shard of them compiles an Aho-Corasick
-   automaton (pyahocorasick) of phrases taken from its passages, close enough that every window of a passage holds
-   one, streams its documents through it, and follows each phrase found along its passage, word by word. Runs of a
-   window's length or more are removed. Hashes only choose candidates; what is removed was compared as text.
-
-Exact copies of an earlier document are settled by themselves, before anything else. Shards are keyed by document, so
-a passage that a third of all documents share burdens no single task.
+2. Those windows are hashed and counted by content; what recurs is owned by the first document that has it. Passages
+   are cut from the owners' texts as pieces of bounded length, such that each window lies whole in one of them.
+3. Documents are dealt out with the pieces that they have a window of. Each shard of them compiles an Aho-Corasick
+   automaton (pyahocorasick) of phrases taken from its pieces, close enough that every window of a piece holds one,
+   streams its documents through it, and follows each phrase found along its piece, word by word. Runs of a window's
+   length or more are removed. Hashes only choose candidates; what is removed was compared as text. Documents without
+   a recurring anchor hold no passage and aren't streamed.
+
+Exact copies of an earlier document are settled by themselves, before anything else: their words have the same SHA-256
+digest. Shards are keyed by document, so a passage that a third of all documents share burdens no single task; texts
+are read with what was found once, at the end.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import Words, documents_of, materialize, mix, slices
+from ledgerlake.llm.common import Scope, Words, documents_of, join_by_count, materialize, mix, slices
 
 PHRASE = 10  # words of a phrase
+PIECE = 128  # windows of a passage that one piece holds
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -66,24 +70,21 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
-def _digests(docs: DataFrame, window: int) -> DataFrame:
+def _digests(texts: DataFrame, window: int) -> DataFrame:
+    """The digest of each text's words and its anchors; null for texts shorter than a window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
                 a = Anchors(w, window)
-                n = np.diff(w.of)
-                place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.of[:-1], n).astype(np.uint64)
-                sums = []
-                for salt in (1, 2):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash ^ mix(place + np.uint64(salt << 40))), dtype=np.uint64)])
-                    sums.append((total[w.of[1:]] - total[w.of[:-1]]).view(np.int64))
+                long = np.diff(w.of) >= window
+                keys = [hashlib.sha256(b" ".join(t.split())).digest() if x else None for t, x in zip(part.column("text").cast(pa.binary()).to_pylist(), long, strict=True)]
                 chosen = np.flatnonzero(a.chosen)
-                ends = np.searchsorted(chosen, w.of)
-                cols = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), _lists(a.grams[chosen].view(np.int64), ends)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "anchors"])
+                cols = [part.column("doc_id"), part.column("tk"), pa.array(keys, pa.binary()), _lists(a.grams[chosen].view(np.int64), np.searchsorted(chosen, w.of))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tk", "key", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, anchors array<long>")
+    return texts.mapInArrow(run, "doc_id long, tk long, key binary, anchors array<long>")
 
 
 def _recurring(part: pa.RecordBatch, w: Words, a: Anchors) -> np.ndarray:
@@ -112,33 +113,27 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 starts = np.flatnonzero((np.cumsum(near[:-1]) > 0) & a.valid)
                 h = w.grams(window)[starts] if len(starts) else np.zeros(0, np.uint64)
                 text = np.searchsorted(w.of, starts, side="right") - 1
-                ids = part.column("doc_id").to_numpy()[text]
+                ids, tks = (part.column(c).to_numpy()[text] for c in ("doc_id", "tk"))
                 other = (mix(w.hash[starts] ^ a.grams[starts]) >> np.uint64(33)).astype(np.int32) if len(starts) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(other), pa.array(ids), pa.array((starts - w.of[text]).astype(np.int32))], ["h", "h2", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(other), pa.array(ids), pa.array(tks), pa.array((starts - w.of[text]).astype(np.int32))], ["h", "h2", "doc_id", "tk", "at"])
 
-    return texts.select("doc_id", "text", "anchors").mapInArrow(run, "h long, h2 int, doc_id long, at int")
+    return texts.select("doc_id", "tk", "text", "anchors").mapInArrow(run, "h long, h2 int, doc_id long, tk long, at int")
 
 
-def _passages(owners: DataFrame, window: int) -> DataFrame:
-    """Maximal runs of recurring windows (``starts``) of a document, as texts of words joined by a space."""
+def _pieces(owners: DataFrame, window: int) -> DataFrame:
+    """The pieces of a document whose numbers are in its list ``pieces``, as words joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                for i, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                for doc, tk, text, pieces in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tk", "text", "pieces")), strict=True):
                     words = text.encode().split()
-                    at = np.unique(np.asarray(part.column("starts")[i].values, np.int64))
-                    at = at[at + window <= len(words)]
-                    if not len(at):
-                        continue
-                    cut = np.flatnonzero(np.diff(at) > 1) + 1
-                    for first, last in zip(at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])], strict=True):
-                        rows.append((doc, int(first), b" ".join(words[first : last + window]).decode()))
-                cols = list(zip(*rows, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["owner", "start", "passage"])
+                    rows += [(doc, tk, i, b" ".join(words[i * PIECE : (i + 1) * PIECE + window - 1]).decode()) for i in pieces]
+                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["owner", "otk", "piece", "words"])
 
-    return owners.mapInArrow(run, "owner long, start int, passage string")
+    return owners.mapInArrow(run, "owner long, otk long, piece int, words string")
 
 
 def _followed(texts: list[str], passages: list[list[str]], window: int) -> list[np.ndarray]:
@@ -193,24 +188,62 @@ def _followed(texts: list[str], passages: list[list[str]], window: int) -> list[
     return out
 
 
-def _cut(text: str, gone: np.ndarray) -> tuple[str, list[dict]]:
-    """The text without these words and the white space after each, and the runs of words that went."""
-    if not gone.any():
-        return text, []
-    raw = text.encode()
-    w = Words(pa.array([raw]))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    kept, at, spans = [], 0, []
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        kept.append(raw[at : w.start[a]])
-        at = int(w.start[b]) if b < len(w.start) else len(raw)
-        spans.append({"start": a, "end": b})
-    return b"".join([*kept, raw[at:]]).decode(), spans
+def _cut(raw: bytes, start: np.ndarray, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of these spans and the white space after each; ``start`` has the place of each word."""
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at : start[a]])
+        at = int(start[b]) if b < len(start) else len(raw)
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _found(texts: DataFrame, window: int) -> DataFrame:
+    """Spans of words that texts share with the pieces in their lists ``pieces``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                spans = []
+                for gone in _followed(part.column("text").to_pylist(), part.column("pieces").to_pylist(), window):
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
+                    spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(spans, _SPANS)], ["doc_id", "tk", "removed"])
+
+    return texts.mapInArrow(run, "doc_id long, tk long, removed array<struct<start: long, end: long>>")
+
+
+def _repeats(d: DataFrame, window: int) -> DataFrame:
+    """One row per text (doc_id, tk) of which something goes: copy (all of it), removed (word spans). A written table."""
+    with Scope(d.sparkSession) as scope:
+        digest = materialize(_digests(d, window), "digests").where("doc_id is not null and key is not null")
+        classes = materialize(digest.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "classes")
+        copies = materialize(join_by_count(digest.select("doc_id", "tk", "key"), classes, ["key"]).where("doc_id > rep").select("doc_id", "tk").distinct(), "copies")
+        first = digest.select("doc_id", "tk", "anchors").join(copies, ["doc_id", "tk"], "left_anti")
+        each = materialize(first.select("doc_id", "tk", F.explode(F.array_distinct("anchors")).alias("anchor")), "anchors")
+        shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+        shared = materialize(shared.select("anchor", "rows"), "shared")
+        told = join_by_count(each, shared, ["anchor"]).groupBy("doc_id", "tk").agg(F.collect_set("anchor").alias("anchors"))
+        texts = materialize(d.select("doc_id", "tk", "text").join(told, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]), "texts")
+
+        windows = materialize(_windows(texts, window), "windows")
+        owned = windows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "tk", "at")).alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("first.doc_id < hi")
+        piece = F.floor(F.col("first.at") / PIECE).cast("int").alias("piece")
+        owned = materialize(owned.select("h", "h2", F.col("first.doc_id").alias("owner"), F.col("first.tk").alias("otk"), piece, "rows"), "owned")
+        # a window has one owner, so a document meets the pieces that it has a window of, and no others
+        met = join_by_count(windows.select("h", "h2", "doc_id", "tk"), owned, ["h", "h2"]).where("owner < doc_id")
+        met = materialize(met.select("doc_id", "tk", "owner", "otk", "piece").distinct(), "met")
+        wanted = met.groupBy("owner", "otk", "piece").agg(F.count("*").alias("rows"))
+        of = wanted.groupBy(F.col("owner").alias("doc_id"), F.col("otk").alias("tk")).agg(F.collect_list("piece").alias("pieces"))
+        pieces = _pieces(texts.select("doc_id", "tk", "text").join(of, ["doc_id", "tk"]), window)
+        pieces = materialize(pieces.join(wanted, ["owner", "otk", "piece"]), "pieces")
+        theirs = join_by_count(met, pieces, ["owner", "otk", "piece"]).groupBy("doc_id", "tk").agg(F.collect_list("words").alias("pieces"))
+        found = _found(texts.select("doc_id", "tk", "text").join(theirs, ["doc_id", "tk"]), window).withColumn("copy", F.lit(False))
+        return scope.keep(materialize(found.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True), "repeats"))
+
+
 def remove_repeats(docs: DataFrame, *, window: int = 50, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, text (what is kept, its white space unchanged), removed (word spans).
 
@@ -218,54 +251,34 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, keep: tuple[str, ...] =
 
     A word goes if it is covered by ``window`` consecutive words whose sequence also starts in a document with a smaller
     doc_id; windows are judged on the input. Documents of fewer words keep all, as do null ids (which are no earlier
-    document to any); rows of equal id don't remove each other; null text counts as empty; an empty table gives no rows;
-    other columns are not read.
+    document to any); rows of equal id don't remove each other and are judged each by their own text; null text counts
+    as empty; an empty table gives no rows; other columns are not read. A window shorter than a phrase (PHRASE words) is
+    refused.
     """
+    if window < PHRASE:
+        raise ValueError(f"a window has {PHRASE} words at least")
     d = documents_of(docs, F.struct(*(F.col(c) for c in keep)).alias("kept") if keep else F.lit(False).alias("kept"), id_col=id_col, text_col=text_col)
-    digest = materialize(_digests(d.drop("kept"), window), "digests").where("doc_id is not null").where(F.col("n") >= window)
-    first = materialize(digest.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    anchored = digest.join(first, ["n", "s1", "s2"]).select("doc_id", (F.col("doc_id") > F.col("rep")).alias("copy"), "anchors")
-    each = anchored.where("not copy").select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    told = each.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    copies = anchored.where("copy").select("doc_id", F.lit(True).alias("copy")).distinct()
-    role = told.join(copies, "doc_id", "full")
-    dealt = materialize(d.join(role, "doc_id", "left"), "dealt")  # the texts with what is known of them
-    texts = dealt.where("anchors is not null")
-
-    windows = materialize(_windows(texts, window), "windows")
-    owned = windows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
-    owned = owned.select("h", "h2", F.col("first.doc_id").alias("owner"), F.col("first.at").alias("at"))
-    # neighbouring windows of an owner are one passage, known by its first
-    by_owner = Window.partitionBy("owner").orderBy("at")
-    owned = owned.withColumn("run", F.col("at") - F.row_number().over(by_owner)).withColumn("start", F.min("at").over(Window.partitionBy("owner", "run")))
-    owned = materialize(owned.select("h", "h2", "owner", "at", "start"), "owned")
-    starts = owned.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("at").alias("starts"))
-    passages = materialize(_passages(texts.select("doc_id", "text").join(starts, "doc_id"), window), "passages")
-    # a window has one owner, so a document meets the passages that it has a window of, and no others
-    met = windows.select("h", "h2", "doc_id").join(owned.select("h", "h2", "owner", "start"), ["h", "h2"])
-    met = met.where("owner < doc_id").select("doc_id", "owner", "start").distinct()
-    theirs = met.join(passages, ["owner", "start"]).groupBy("doc_id").agg(F.collect_set("passage").alias("passages"))
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts, told = part.column("text").to_pylist(), [p or [] for p in part.column("passages").to_pylist()]
-                yield finished(part, texts, _followed(texts, told, window))
+    d = d.withColumn("tk", F.xxhash64("text"))  # tells texts of one id apart
+    repeats = _repeats(d.drop("kept"), window)
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                n = np.diff(Words(part.column("text")).of)
-                yield finished(part, texts, [np.full(k, bool(c)) for k, c in zip(n, part.column("copy").to_pylist(), strict=True)])
-
-    def finished(part: pa.RecordBatch, texts: list[str], gone: list[np.ndarray]) -> pa.RecordBatch:
-        cut = [_cut(t, g) for t, g in zip(texts, gone, strict=True)]
-        cols = [part.column("doc_id"), pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([c[0] for c in cut], pa.string()), pa.array([c[1] for c in cut], _SPANS), part.column("kept")]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "text", "removed", "kept"])
+                w = Words(part.column("text"))
+                n = np.diff(w.of)
+                texts, spans = part.column("text").to_pylist(), part.column("removed").to_pylist()
+                for i, copied in enumerate(part.column("copy").to_pylist()):
+                    spans[i] = [{"start": 0, "end": int(n[i])}] if copied else spans[i] or []
+                    if spans[i]:
+                        raw, a = texts[i].encode(), w.of[i]
+                        texts[i] = _cut(raw, w.start[a : w.of[i + 1]] - w.offsets[i], [(s["start"], s["end"]) for s in spans[i]])
+                gone = [sum(s["end"] - s["start"] for s in x) for x in spans]
+                cols = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, _SPANS), part.column("kept")]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "text", "removed", "kept"])
 
     out = f"doc_id long, n_words long, n_removed long, text string, removed array<struct<start: long, end: long>>, kept {d.schema['kept'].dataType.simpleString()}"
-    some = texts.select("doc_id", "text", "kept").join(theirs, "doc_id", "left").mapInArrow(follow, out)
-    done = some.union(dealt.where("anchors is null").select("doc_id", "text", "copy", "kept").mapInArrow(settle, out))
+    known = F.col("doc_id").isNotNull()  # rows without an id would all meet in one task
+    joined = d.where(known).join(repeats, ["doc_id", "tk"], "left")
+    apart = d.where(~known).withColumns({c: F.lit(None).cast(repeats.schema[c].dataType) for c in ("copy", "removed")})
+    done = joined.unionByName(apart, allowMissingColumns=True).select("doc_id", "text", "kept", "copy", "removed").mapInArrow(run, out)
     return done if keep else done.drop("kept")

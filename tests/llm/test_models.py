@@ -9,8 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import public_tokenizers
 from ledgerlake.llm import html_text, mixing, quality_model, quality_rules, registry, url_filters
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
 
 def test_quality_rules_match_duckdb(spark, odd):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(odd.drop("label", "h"))
@@ -192,7 +195,7 @@ def test_rates_meet_the_targets(spark):
     total = sum(r.tokens for r in got)
     for domain, weight in registry.DOMAIN_WEIGHTS.items():
         assert abs(sum(r.rate * r.tokens * r[f"p_{domain}"] for r in got) / total - weight) < 1e-3
-    assert min(r.rate for r in got) >= 0
+    assert min(r.rate for r in got) >= 0 and max(r.residual for r in got) < 1e-3
     told = {r.doc_id: r.domain for r in registry.domains(spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     names = list(registry.DOMAIN_WEIGHTS)
     right = [max(names, key=lambda n: r[f"p_{n}"]) == told[r.doc_id] for r in got if r.doc_id in told]
@@ -204,15 +207,16 @@ def test_rates_are_least_squares_when_targets_cannot_be_met(spark):
     n = np.array([10, 20, 30])
     members = spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(n, p, strict=True)], "tokens long, p array<double>")
     target = np.array([100.0, 0.0])  # no mix of these has none of the second
-    r = mixing._rates(p, mixing.fit_rates(members, target, most_steps=400))
+    r = mixing._rates(p, (fitted := mixing.fit_rates(members, target, most_steps=400))[0])
     scale = np.linalg.pinv((p * n[:, None]).T @ p)
     loss = lambda r: (d := (r * n) @ p - target) @ scale @ d
+    assert np.allclose(fitted[1], (r * n) @ p)
     assert (r >= 0).all() and all(loss(r) <= loss(np.maximum(0, r + e)) + 1e-6 for e in np.random.default_rng(0).normal(scale=0.05, size=(200, 3)))
 
 
 def test_mixing_awkward_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, "clean"), (5, "low"), (8, "toxic"), (None, "low"), (7, "other")], "doc_id long, domain string")
-    got = mixing.mix_to_targets(odd, labels, registry.DOMAIN_WEIGHTS, keep=("text", "label"))
+    got = mixing.mix_to_targets(odd, labels, registry.DOMAIN_WEIGHTS, tokenizer_path=WORDS, keep=("text", "label"))
     assert got.count() == odd.count() and got.columns[:3] == ["text", "label", "doc_id"] and got.where("rate < 0 or rate is null").count() == 0
-    assert mixing.mix_to_targets(empty, labels, registry.DOMAIN_WEIGHTS).count() == 0
-    assert mixing.mix_to_targets(odd, labels.where("false"), registry.DOMAIN_WEIGHTS).count() == odd.count()
+    assert mixing.mix_to_targets(empty, labels, registry.DOMAIN_WEIGHTS, tokenizer_path=WORDS).count() == 0
+    assert mixing.mix_to_targets(odd, labels.where("false"), registry.DOMAIN_WEIGHTS, tokenizer_path=WORDS).count() == odd.count()
