@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import mixing, packing, quality_model, similarity_join, substring_dedup
-from ledgerlake.llm.common import materialize, table
+from ledgerlake.llm.common import Scope, delete, discard, folders_of, materialize, table
 from ledgerlake.llm.registry import domains
 
-#: Of all tokens times TOTAL: more clean tokens than there can be, so that clean documents have rates of 1 or more.
-WEIGHTS, TOTAL = {"clean": 0.98, "toxic": 0.02, "low": 0.0}, 1.05
+#: What tokens shall be of (the classifier has left next to none of low quality, so more can't be asked for); as many
+#: clean tokens are taken as WHOLE times what there are, so that every clean document stays.
+WEIGHTS, WHOLE = {"clean": 0.97, "toxic": 0.03, "low": 0.0}, 1.05
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT: list[str] = []  # intermediate tables of stages whose result has been written since
+
+
+def staged(stage: Stage) -> Stage:
+    """A stage gets what the one before it gave as a written table, so that one's intermediate tables can go."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = folders_of(docs)
+        if not any(at.rsplit("/", 1)[1] in {x.rsplit("/", 1)[1] for x in read} for at in _LEFT):
+            delete(spark, _LEFT)
+            _LEFT.clear()
+        with Scope(spark) as scope:
+            out = stage(spark, docs, sf_dir)
+            scope.kept |= {at.rsplit("/", 1)[1] for at in scope.made}
+        _LEFT.extend(scope.made)
+        return out
+
+    return run
 
 
+@staged
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of labelled quality rejects (score under 0.5) go."""
     labels = table(spark, sf_dir, "labels")
@@ -22,26 +47,32 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_model.score(docs, model, keep=COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
+@staged
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the smallest id stays."""
     linked = similarity_join.link(docs)
-    gone = linked.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))  # tells texts of one id apart
+    gone = linked.where("component_id < doc_id").select("doc_id", "text_key").distinct()
+    some = docs.where("doc_id is not null").withColumn("text_key", text).join(gone, ["doc_id", "text_key"], "left_anti")
+    return some.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
+@staged
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut; documents of which nothing is left go."""
     kept = substring_dedup.remove_repeats(docs, keep=("lang", "source")).where("n_removed < n_words or n_removed = 0")
     return kept.select("doc_id", "text", "kept.lang", "kept.source", F.length("text").cast("long").alias("n_chars"))
 
 
+@staged
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays with its rate as the probability (always, from 1 on), by a hash of its id and text."""
-    rated = mixing.mix_to_targets(docs, domains(table(spark, sf_dir, "labels")), WEIGHTS, total=TOTAL, keep=COLUMNS)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.where(draw < F.col("rate")).select(*COLUMNS)
+    """A document is taken as many times as its rate says; the part of a copy is a chance, by a hash of its id and text."""
+    told = domains(table(spark, sf_dir, "labels"))
+    rated = mixing.mix_to_targets(docs, told, WEIGHTS, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), total=WHOLE, whole="clean", keep=COLUMNS)
+    return mixing.draw(rated, "doc_id", "text").select(*COLUMNS)
 
 
+@staged
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as training sequences; one row for each piece, with its ids."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -62,6 +93,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = materialize(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
