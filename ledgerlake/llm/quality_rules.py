@@ -2,9 +2,11 @@
 
 Every document gets a few whole-number statistics. Their distributions are summarised per (lang, source) by a
 log-linear histogram: a quantile sketch with a relative error of at most 1/32 that is merged by adding counts, so
-partial aggregation does the merging and the result doesn't depend on order or partitioning. Fences around the
-median come from the sketch of the group, or, where the group is small, from the merged sketches of its language
-or of everything; documents are filtered by a join with them. DataFrame functions only.
+partial aggregation does the merging and the result doesn't depend on order or partitioning. A fence lies some spreads
+from the median: below by the distance of the lowest tenth, above by that of the upper quarter or, if it is greater,
+the same. A language's fences are
+drawn toward those of everything and a group's toward its language's, with a weight that falls with its rows, so that
+no number of rows changes the way of judging. Documents are filtered by a join with them. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from ledgerlake.llm.native_words import gram_hashes, is_blank, word_hashes, word
 
 SYMBOLS = "#*$%&|<>"
 #: The sketched statistics, in thousandths, and the least spread that a fence is reckoned with.
-METRICS = {"word_length": 150, "symbols": 20, "dup_lines": 100, "repeated": 50}
+METRICS = {"word_length": 150, "symbols": 20, "dup_lines": 60, "repeated": 30}
 WIDTH = 6  # spreads from the median to a fence
-LEAST_ROWS = 100  # a group of fewer rows takes the fences of its language, a language of fewer those of all
+PRIOR_ROWS = 100  # rows of its own at which a group counts for as much as its language, and a language as everything
 
 
 def repeats(pairs: Column) -> Column:
@@ -98,10 +100,11 @@ def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "metric").orderBy("bucket")
     ranked = merged.select(*keys, "metric", "bucket", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(*keys, "metric")).alias("total"))
     at = lambda q: bucket_start(F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))))
-    found = ranked.groupBy(*keys, "metric").agg(at(10).alias("q10"), at(50).alias("q50"), F.max("total").alias("total"))
+    found = ranked.groupBy(*keys, "metric").agg(at(10).alias("q10"), at(50).alias("q50"), at(75).alias("q75"), F.max("total").alias("total"))
     least = F.create_map(*(F.lit(x) for kv in METRICS.items() for x in kv))
-    reach = F.greatest(F.col("q50") - F.col("q10"), least[F.col("metric")]) * WIDTH
-    found = found.select(*keys, "metric", "total", (F.col("q50") - reach).alias("low"), (F.col("q50") + reach).alias("high"))
+    reach = lambda spread: F.greatest(spread, least[F.col("metric")]) * WIDTH
+    low = F.greatest(F.col("q50") - reach(F.col("q50") - F.col("q10")), F.lit(0))
+    found = found.select(*keys, "metric", "total", low.alias("low"), (F.col("q50") + reach(F.greatest(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q10")))).alias("high"))
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
     return found.groupBy(*keys).agg(F.max("total").alias("rows"), *(pick(m, c) for m in METRICS for c in ("low", "high")))
 
@@ -126,7 +129,8 @@ def judge(docs: DataFrame, *, least_words: int = 20, most_repeated_percent: int
     j = s.join(group, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     j = j.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     j = j.join(F.broadcast(every), F.lit(True), "left")  # one row
-    fence = lambda c: F.when(F.col("g_rows") >= LEAST_ROWS, F.col(f"g_{c}")).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
+    drawn = lambda own, rows, to: F.call_function("div", own * rows + to * PRIOR_ROWS, rows + PRIOR_ROWS)
+    fence = lambda c: drawn(F.col(f"g_{c}"), F.col("g_rows"), drawn(F.col(f"l_{c}"), F.col("l_rows"), F.col(f"e_{c}")))
     inside = F.lit(True)
     for m, v in thousandths().items():
         inside = inside & v.between(fence(f"low_{m}"), fence(f"high_{m}"))
@@ -152,14 +156,17 @@ k AS (SELECT lang, source, m, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 7)
 h AS (SELECT 0 AS lv, lang, source, m, bk, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, m, bk, count(*) FROM k GROUP BY ALL
       UNION ALL SELECT 2, NULL, NULL, m, bk, count(*) FROM k GROUP BY ALL),
 c AS (SELECT lv, lang, source, m, bk, sum(n) OVER (PARTITION BY lv, lang, source, m ORDER BY bk) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, m) AS total FROM h),
-q AS (SELECT lv, lang, source, m, max(total) AS total, min(CASE WHEN upto * 100 >= total * 10 THEN bk END) AS b10, min(CASE WHEN upto * 100 >= total * 50 THEN bk END) AS b50 FROM c GROUP BY ALL),
+q AS (SELECT lv, lang, source, m, max(total) AS total, min(CASE WHEN upto * 100 >= total * 10 THEN bk END) AS b10, min(CASE WHEN upto * 100 >= total * 50 THEN bk END) AS b50, min(CASE WHEN upto * 100 >= total * 75 THEN bk END) AS b75 FROM c GROUP BY ALL),
 p AS (SELECT lv, lang, source, m, total, CASE WHEN b10 < 64 THEN b10 ELSE ((b10 - 64) % 32 + 32) << ((b10 - 64) // 32 + 1) END AS q10,
-             CASE WHEN b50 < 64 THEN b50 ELSE ((b50 - 64) % 32 + 32) << ((b50 - 64) // 32 + 1) END AS q50 FROM q),
-f AS (SELECT lv, lang, source, m, total, q50 - {WIDTH} * greatest(q50 - q10, r) AS lo, q50 + {WIDTH} * greatest(q50 - q10, r) AS hi
-      FROM p JOIN (VALUES (1, 150), (2, 20), (3, 100), (4, 50)) AS x(m, r) USING (m)),
-o AS (SELECT b.rid, bool_and(CASE a.m WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 ELSE m4 END BETWEEN a.lo AND a.hi) AS ok
-      FROM b JOIN LATERAL (SELECT f.*, row_number() OVER (PARTITION BY f.m ORDER BY f.lv) AS rn FROM f
-        WHERE (f.lv = 2) OR (f.total >= {LEAST_ROWS} AND f.lang IS NOT DISTINCT FROM b.lang AND (f.lv = 1 OR f.source IS NOT DISTINCT FROM b.source))) a ON a.rn = 1
-      GROUP BY b.rid)
+             CASE WHEN b50 < 64 THEN b50 ELSE ((b50 - 64) % 32 + 32) << ((b50 - 64) // 32 + 1) END AS q50,
+             CASE WHEN b75 < 64 THEN b75 ELSE ((b75 - 64) % 32 + 32) << ((b75 - 64) // 32 + 1) END AS q75 FROM q),
+f AS (SELECT lv, lang, source, m, total, greatest(0, q50 - {WIDTH} * greatest(q50 - q10, r)) AS lo, q50 + {WIDTH} * greatest(q75 - q50, q50 - q10, r) AS hi
+      FROM p JOIN (VALUES (1, {METRICS["word_length"]}), (2, {METRICS["symbols"]}), (3, {METRICS["dup_lines"]}), (4, {METRICS["repeated"]})) AS x(m, r) USING (m)),
+l AS (SELECT f.lang, f.m, (f.lo * f.total + e.lo * {PRIOR_ROWS}) // (f.total + {PRIOR_ROWS}) AS lo, (f.hi * f.total + e.hi * {PRIOR_ROWS}) // (f.total + {PRIOR_ROWS}) AS hi
+      FROM f JOIN f e ON e.lv = 2 AND e.m = f.m WHERE f.lv = 1),
+g AS (SELECT f.lang, f.source, f.m, (f.lo * f.total + l.lo * {PRIOR_ROWS}) // (f.total + {PRIOR_ROWS}) AS lo, (f.hi * f.total + l.hi * {PRIOR_ROWS}) // (f.total + {PRIOR_ROWS}) AS hi
+      FROM f JOIN l ON l.m = f.m AND l.lang IS NOT DISTINCT FROM f.lang WHERE f.lv = 0),
+o AS (SELECT b.rid, bool_and(CASE g.m WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 ELSE m4 END BETWEEN g.lo AND g.hi) AS ok
+      FROM b JOIN g ON g.lang IS NOT DISTINCT FROM b.lang AND g.source IS NOT DISTINCT FROM b.source GROUP BY b.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept FROM b LEFT JOIN o USING (rid)
 """

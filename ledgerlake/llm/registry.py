@@ -48,9 +48,11 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled by the row of ``labels`` with its id: blocked if of low quality or toxic."""
-    told = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    found = url_filters.filter_urls(table(spark, sf_dir, "pages"), told, URL_RULES)
+    """A page is labelled by the labelled documents whose lines it holds: blocked if of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages")
+    bad = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    told = url_filters.label_pages(pages.select("page_id", "html"), table(spark, sf_dir, "documents"), bad)
+    found = url_filters.filter_urls(pages, told, URL_RULES)
     return found.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 

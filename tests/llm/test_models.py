@@ -1,5 +1,6 @@
 """Quality rules, URL filters, HTML extraction, classifier and mixing."""
 
+import itertools
 import random
 import re
 
@@ -68,10 +69,69 @@ def test_url_rules_of_rare_hosts_in_large_tables_and_of_many_tokens(spark):
     five = [f"p:{x}" for x in "abcde"]
     rows = [(["h:rare"], True)] * 25 + [(["h:few"], True)] * 19 + [(["h:big"], False)] * 30_000
     rows += [(five, True)] * 30 + [(five[:i] + five[i + 1 :], False) for i in range(5)] * 20
-    found = {(tuple(r.tokens), round(r.support * len(rows))) for r in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()}
+    found = {(tuple(r.tokens), round(r.support * len(rows))) for r in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_confidence=0.8).collect()}
     assert found == {(("h:rare",), 25), (tuple(five), 30)}
 
 
+def _tokens(host, path):
+    labels = [x for x in host.split(".") if x]
+    parts = [x for x in re.split(r"[.-]", host) if x]
+    return frozenset(f"h:{x}" for x in labels + parts) | frozenset("p:" + re.sub("[0-9]+", "0", x) for x in path.split("/") if x)
+
+
+def test_url_query_matches_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    say = lambda: " ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + str(r.randrange(900)) for _ in range(8))
+    hosts = ["www.farm.example.org", "good.example.net", "mixed.example.com", "other.site"]
+    docs, pages, labels, truth = [], [], [], {}
+    for i in range(320):
+        host, lang = r.choice(hosts), r.choice(["en", "de", "es"])
+        bad = r.random() < {"www.farm.example.org": 0.9, "good.example.net": 0.02, "other.site": 0.1}.get(host, 0.85 if lang == "de" else 0.05)
+        lines = [say() for _ in range(3)]
+        docs.append((i, "\n".join([*lines, "a line that every one of the documents has"]), "en", "s", 0))
+        url = r.choice([f"http://{host.upper()}/{lang}/{i}?q=1", f"https://{host}/{lang}/{i}#f"])
+        html = "<html><nav>" + "".join(f"<li>{say()}</li>" for _ in range(3)) + "</nav><p>" + "<p> ".join(lines) + "</p><p>a line that every one of the documents has</html>"
+        pages.append((i * 7 % 320, url, html))
+        if i % 3:
+            labels.append((i, int(not bad), 0))
+            truth[i * 7 % 320] = bad
+    pages += [(900, None, None), (900, None, None), (None, "http://www.farm.example.org/es/8" + "x" * 5000, ""), (901, "no scheme", "<p>" + docs[1][1])]
+    truth[901] = not labels[0][1]
+    labels += [(None, 1, 0), (5000, None, None)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("pages", pages, "page_id long, url string, html string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    split = lambda u: (m[1].translate(str.maketrans(url_filters._UPPER, url_filters._LOWER)), m[2]) if (m := re.match(r".*?://([^/?#]*)([^?#]*)", u or "")) else ("", "")
+    baskets = [(_tokens(*split(u)), truth[i]) for i, u, _ in pages if i in truth]
+    least = max(0.5, 1.5 * sum(b for _, b in baskets) / len(baskets))
+
+    def implied(t):
+        for size in range(1, len(t) + 1):
+            for part in itertools.combinations(sorted(t), size):
+                votes = [b for x, b in baskets if x >= set(part)]
+                if sum(votes) >= 20 and sum(votes) / len(votes) >= least:
+                    return True
+        return False
+
+    got = sorted((x.page_id or -1, x.host, x.path, x.rule or "", x.verdict) for x in registry.op2_url_filters(spark, str(tmp_path)).collect())
+    known, want = {}, []
+    for i, u, _ in pages:
+        host, path = split(u)
+        fits = [(len(h + p), h + p, v) for v, h, p in registry.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        t = _tokens(host, path)
+        if t not in known:
+            known[t] = implied(t)
+        want.append((i or -1, host, path, *(max(fits)[1:] if fits else ("", "block" if known[t] else "allow"))))
+    assert got == sorted(want) and {"block", "allow"} == {v for *_, rule, v in got if not rule}
+
+
+def test_stated_rules_of_equal_length_and_an_empty_list(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.c/x/1/2")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, blocked boolean")
+    for first, last in (("block", "allow"), ("allow", "block")):
+        assert url_filters.filter_urls(pages, none, [(first, "b.c", "/x/"), (last, "c", "/x/1/")]).first().verdict == last
+    assert url_filters.filter_urls(pages, none, []).first().verdict == "allow"
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><div id="cookie-notice">We use cookies &amp; more.</div><header class="site-header"><h2>Daily</h2></header>
 <div class="content"><h1>Big   story</h1><p>The council met on Tuesday to discuss the new plan for the harbour, and many people came.<p>A&amp;B short.</p><div class="ad">Buy now cheap!</div>
 <p>Another paragraph with enough text to be seen as prose, which goes on for a while, and ends.</p></div><div class="comments"><h3>Comments</h3><div class="comment"><p>I think it should have met earlier.</p></div></div>
