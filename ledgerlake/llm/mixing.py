@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import Words, documents_of, few_parts, materialize, mix, slices
+from ledgerlake.llm.packing import encoder
 from ledgerlake.llm.quality_model import STATISTICS, statistics
-from ledgerlake.llm.token_counts import counter
 
 BUCKETS = 1 << 15  # of hashed words
 _SHIFT = np.uint64(64 - 15)
+ROWS_A_TASK = 250_000  # of the numbers that a gradient step reads
 
 
 def _buckets(w: Words) -> np.ndarray:
@@ -127,10 +128,11 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, most_steps: int = 50,
         return steps, np.zeros(k)
     scale = np.linalg.pinv(gram.reshape(k, k))
     expected = lambda steps: summed(lambda n, p: (_rates(p, steps) * n) @ p)
-    now = expected(steps)
+    now, offs = expected(steps), []
     for _ in range(most_steps):
-        if np.abs(now - targets).max() <= tolerance * max(targets.sum(), 1.0):
-            break
+        offs.append(np.abs(now - targets).max() / max(targets.sum(), 1.0))
+        if offs[-1] <= tolerance or (len(offs) > 5 and offs[-1] > offs[-6] - tolerance / 10):
+            break  # met, or as near as it gets
         steps = np.vstack([steps, scale @ (now - targets)])
         now = expected(steps)
     return steps, now
@@ -152,7 +154,7 @@ def mix_to_targets(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, tokens, p_<domain> for each of ``weights``, rate, residual, after the columns ``keep``.
 
-    Tokens are those of the tokenizer's file. Targets are ``weights``, scaled to sum to ``total`` times all tokens, or,
+    Tokens are those of the tokenizer's file, without special ones. Targets are ``weights``, scaled to sum to ``total`` times all tokens, or,
     with ``whole``, so that this domain's target is ``total`` times its own expected tokens. A rate is the expected
     number of times to take the document; every row gets one, and documents of the same posteriors get the same. Where
     the targets can't be met by nonnegative rates, these are the rates of least squares; ``residual`` is the greatest
@@ -168,23 +170,25 @@ def mix_to_targets(
     kept = [f for f in d.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "__text"):
                 p = model(part.column("__text"))
-                n = [count(t) for t in part.column("__text").to_pylist()]
+                n = [len(encode.ids(t)) for t in part.column("__text").to_pylist()]
                 cols = [*(part.column(f.name) for f in kept), part.column("__id"), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in kept), "doc_id", "tokens", "p"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "doc_id long, tokens long, p array<double>"])
     members = materialize(d.mapInArrow(run, schema), "members")
-    sums = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(names)))).first()
+    rows = members.count()
+    numbers = materialize(members.select("tokens", "p").coalesce(max(1, rows // ROWS_A_TASK)), "numbers")  # few files, since each step reads them
+    sums = numbers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(names)))).first()
     wanted = np.array([weights[c] for c in names], float)
     if whole is None:
         targets = wanted / wanted.sum() * total * sums[0]
     else:
         targets = wanted / weights[whole] * total * sums[1 + names.index(whole)]
-    steps, reached = fit_rates(members, targets, **stepping)
+    steps, reached = fit_rates(numbers, targets, **stepping)
     residual = float(np.abs(reached - targets).max() / max(targets.sum(), 1.0))
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

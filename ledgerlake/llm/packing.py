@@ -54,12 +54,15 @@ class Encoder:
                 self.fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
+        return np.array(self.ids(text), np.uint32)
+
+    def ids(self, text: str) -> list[int]:
         ids = None
         if self.fast is not None and not any(s in text for s in self.special) and not self._long_run(text):
             ids = self.fast.encode_ordinary(text)
         if ids is None:
             ids = self.slow.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint32)
+        return ids
 
     @staticmethod
     def _long_run(text: str) -> bool:

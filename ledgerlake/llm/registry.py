@@ -26,7 +26,7 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
+    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

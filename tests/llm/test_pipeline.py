@@ -2,7 +2,6 @@
 
 import corpus_pipeline as pipeline
 import numpy as np
-import public_tokenizers
 import pytest
 from ledgerlake.llm import mixing, registry
 from ledgerlake.llm.common import materialize
@@ -58,7 +57,7 @@ def test_mixing_stage_keeps_clean_documents(spark, stages):
 
 def test_mixing_stage_meets_its_targets(spark, stages):
     told = registry.domains(spark.read.parquet(f"{SF}/labels.parquet"))
-    rated = mixing.mix_to_targets(stages[3], told, pipeline.WEIGHTS, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), total=pipeline.WHOLE, whole="clean", keep=pipeline.COLUMNS)
+    rated = mixing.mix_to_targets(stages[3], told, pipeline.WEIGHTS, tokenizer_path=pipeline.TOKENIZER, total=pipeline.WHOLE, whole="clean", keep=pipeline.COLUMNS)
     rated = materialize(rated, "rated")
     sums = lambda df, by: np.array(df.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col(f"p_{c}") * by), F.lit(0.0)) for c in pipeline.WEIGHTS)).first())
     there = sums(rated, F.lit(1))
