@@ -16,6 +16,7 @@ from ledgerlake.llm.registry import domains
 #: What tokens shall be of (the classifier has left next to none of low quality, so more can't be asked for); as many
 #: clean tokens are taken as WHOLE times what there are, so that every clean document stays.
 WEIGHTS, WHOLE = {"clean": 0.97, "toxic": 0.03, "low": 0.0}, 1.05
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # tokens are mixed and packed alike
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _LEFT: list[str] = []  # intermediate tables of stages whose result has been written since
@@ -68,14 +69,14 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is taken as many times as its rate says; the part of a copy is a chance, by a hash of its id and text."""
     told = domains(table(spark, sf_dir, "labels"))
-    rated = mixing.mix_to_targets(docs, told, WEIGHTS, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), total=WHOLE, whole="clean", keep=COLUMNS)
+    rated = mixing.mix_to_targets(docs, told, WEIGHTS, tokenizer_path=TOKENIZER, total=WHOLE, whole="clean", keep=COLUMNS)
     return mixing.draw(rated, "doc_id", "text").select(*COLUMNS)
 
 
 @staged
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as training sequences; one row for each piece, with its ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, TOKENIZER)
 
 
 STAGES = [
