@@ -30,14 +30,14 @@ def _nation_of_region(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 
 def _lines_and_orders(spark: SparkSession, cfg: EngineConfig, *, delivered: bool = False) -> DataFrame:
-    return t.order_line(spark, cfg.sf_dir, delivered=delivered).join(t.oorder(spark, cfg.sf_dir), c("ol_o_id") == c("o_id"))
+    return t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=delivered).join(t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of), c("ol_o_id") == c("o_id"))
 
 
 def q01(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Delivered lines summed up by line number."""
     n = F.count("*")
     return (
-        t.order_line(spark, cfg.sf_dir, delivered=True)
+        t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True)
         .groupBy("ol_number")
         .agg(F.sum("ol_quantity").alias("sum_qty"), _money(c("ol_amount")).alias("sum_amount"), _ratio(F.sum("ol_quantity"), n).alias("avg_qty"), _ratio(F.sum("ol_amount"), n).alias("avg_amount"), n.alias("count_order"))
         .orderBy("ol_number")
@@ -56,8 +56,8 @@ def q02(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 def q03(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Open orders of customers in states that begin so, by revenue."""
     who = t.customer(spark, cfg.sf_dir).where(c("c_state").startswith(cfg["state_prefix"]))
-    orders = t.new_order(spark, cfg.sf_dir).where(c("o_entry_d").isNotNull()).join(who, c("o_c_id") == c("c_id"), "left_semi")
-    lines = t.order_line(spark, cfg.sf_dir).join(orders, c("ol_o_id") == c("o_id"))
+    orders = t.new_order(spark, cfg.sf_dir, as_of=cfg.as_of).where(c("o_entry_d").isNotNull()).join(who, c("o_c_id") == c("c_id"), "left_semi")
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).join(orders, c("ol_o_id") == c("o_id"))
     return lines.groupBy("o_id", "o_entry_d").agg(_money(c("ol_amount")).alias("revenue")).orderBy(F.desc("revenue"), "o_entry_d", "o_id")
 
 
@@ -87,7 +87,7 @@ def q05(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def q06(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Revenue of delivered lines of usual quantities."""
-    return t.order_line(spark, cfg.sf_dir, delivered=True).where(c("ol_quantity").between(1, 100_000)).agg(_money(c("ol_amount")).alias("revenue"))
+    return t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).where(c("ol_quantity").between(1, 100_000)).agg(_money(c("ol_amount")).alias("revenue"))
 
 
 def q07(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
@@ -113,8 +113,8 @@ def q09(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Revenue of some items by supplier nation and year."""
     items = t.item(spark, cfg.sf_dir).where(c("i_data").endswith(cfg["item_suffix_long"]))
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir), c("su_nationkey") == c("n_nationkey"))
-    lines = t.order_line(spark, cfg.sf_dir).join(items, c("ol_i_id") == c("i_id"), "left_semi")
-    j = lines.join(t.oorder(spark, cfg.sf_dir), c("ol_o_id") == c("o_id")).join(su, c("ol_su_key") == c("su_suppkey"))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).join(items, c("ol_i_id") == c("i_id"), "left_semi")
+    j = lines.join(t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of), c("ol_o_id") == c("o_id")).join(su, c("ol_su_key") == c("su_suppkey"))
     return j.groupBy("n_name", F.year("o_entry_d").cast("long").alias("l_year")).agg(_money(c("ol_amount")).alias("sum_profit")).orderBy("n_name", F.desc("l_year"))
 
 
@@ -143,21 +143,21 @@ def q12(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def q13(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """How many customers have how many orders of some carriers; none counts as 0."""
-    orders = t.oorder(spark, cfg.sf_dir).where(c("o_carrier_id") > cfg["carrier_over"]).groupBy("o_c_id").agg(F.count("*").alias("n"))
+    orders = t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of).where(c("o_carrier_id") > cfg["carrier_over"]).groupBy("o_c_id").agg(F.count("*").alias("n"))
     per = t.customer(spark, cfg.sf_dir).join(orders, c("c_id") == c("o_c_id"), "left").select(F.coalesce("n", F.lit(0)).cast("long").alias("c_count"))
     return per.groupBy("c_count").agg(F.count("*").alias("custdist")).orderBy(F.desc("custdist"), F.desc("c_count"))
 
 
 def q14(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Share of promoted items in the revenue of delivered lines, in percent."""
-    lines = t.order_line(spark, cfg.sf_dir, delivered=True).join(t.item(spark, cfg.sf_dir), c("ol_i_id") == c("i_id"))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).join(t.item(spark, cfg.sf_dir), c("ol_i_id") == c("i_id"))
     promo = F.sum(F.when(c("i_data").startswith(cfg["promo_prefix"]), c("ol_amount")).otherwise(F.lit(0).cast(t.MONEY)))
     return lines.agg(F.round(100.0 * promo.cast("double") / (1 + F.sum("ol_amount").cast("double")), 6).alias("promo_revenue"))
 
 
 def q15(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers of the greatest delivered revenue, ties kept."""
-    per = t.order_line(spark, cfg.sf_dir, delivered=True).groupBy("ol_su_key").agg(F.sum("ol_amount").alias("total"))
+    per = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).groupBy("ol_su_key").agg(F.sum("ol_amount").alias("total"))
     best = per.agg(F.max("total").alias("best"))  # one row
     top = per.join(F.broadcast(best), c("total") == c("best"))
     return top.join(t.supplier(spark, cfg.sf_dir), c("ol_su_key") == c("su_suppkey")).select("su_suppkey", "su_name", c("total").cast("double").alias("total_revenue")).orderBy("su_suppkey")
@@ -175,7 +175,7 @@ def q16(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 def q17(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Half the revenue of lines below their item's average quantity, for some items."""
     items = t.item(spark, cfg.sf_dir).where(c("i_data").endswith(cfg["item_suffix"]))
-    lines = t.order_line(spark, cfg.sf_dir).join(items, c("ol_i_id") == c("i_id"), "left_semi")
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).join(items, c("ol_i_id") == c("i_id"), "left_semi")
     w = Window.partitionBy("ol_i_id")
     low = lines.withColumn("a", F.sum("ol_quantity").over(w) / F.count("*").over(w)).where(c("ol_quantity") < c("a"))
     return low.agg((F.coalesce(F.sum("ol_amount"), F.lit(0)).cast("double") / 2.0).alias("avg_yearly"))
@@ -183,14 +183,14 @@ def q17(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 def q18(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Large orders and their customers."""
-    big = t.order_line(spark, cfg.sf_dir).groupBy("ol_o_id").agg(F.sum("ol_amount").alias("m"), F.count("*").alias("o_ol_cnt")).where(c("m") > cfg["order_amount_over"])
-    j = big.join(t.oorder(spark, cfg.sf_dir), c("ol_o_id") == c("o_id")).join(t.customer(spark, cfg.sf_dir), c("o_c_id") == c("c_id"))
+    big = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).groupBy("ol_o_id").agg(F.sum("ol_amount").alias("m"), F.count("*").alias("o_ol_cnt")).where(c("m") > cfg["order_amount_over"])
+    j = big.join(t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of), c("ol_o_id") == c("o_id")).join(t.customer(spark, cfg.sf_dir), c("o_c_id") == c("c_id"))
     return j.select("c_last", "c_id", "o_id", "o_entry_d", "o_ol_cnt", c("m").cast("double").alias("amount_sum")).orderBy(F.desc("amount_sum"), "o_entry_d", "o_id")
 
 
 def q19(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Revenue under three alternative conditions on warehouse and item."""
-    lines = t.order_line(spark, cfg.sf_dir).where(c("ol_quantity").between(1, 10) & c("ol_w_id").between(1, 5))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).where(c("ol_quantity").between(1, 10) & c("ol_w_id").between(1, 5))
     j = lines.join(t.item(spark, cfg.sf_dir).where(c("i_price").between(1, 400_000)), c("ol_i_id") == c("i_id"))
     last = F.right("i_data", F.lit(1))
     any_of = (c("ol_w_id").isin(1, 2, 3) & (last == "t")) | (c("ol_w_id").isin(1, 2, 4) & (last == "g")) | (c("ol_w_id").isin(1, 5, 3) & (last == "r"))
@@ -201,7 +201,7 @@ def q20(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers with a surplus of some item: twice the stock exceeds all that was delivered."""
     items = t.item(spark, cfg.sf_dir).where(c("i_data").startswith(cfg["surplus_prefix"]))
     # stock is derived from the same lines: one grouping gives both what was ordered and what was delivered
-    sold = t.order_line(spark, cfg.sf_dir, delivered=True).join(items, c("ol_i_id") == c("i_id"), "left_semi").groupBy("ol_i_id", "ol_su_key").agg(F.sum("ol_quantity").alias("q"))
+    sold = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).join(items, c("ol_i_id") == c("i_id"), "left_semi").groupBy("ol_i_id", "ol_su_key").agg(F.sum("ol_quantity").alias("q"))
     j = sold.join(t.stock(spark, cfg.sf_dir), (c("ol_i_id") == c("s_i_id")) & (c("ol_su_key") == c("s_su_key"))).where(2 * c("s_quantity") > c("q")).select("s_su_key").distinct()
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir), c("su_nationkey") == c("n_nationkey"))
     return su.join(j, c("su_suppkey") == c("s_su_key"), "left_semi").select("su_suppkey", "su_name", "n_name").orderBy("su_name")
@@ -210,9 +210,9 @@ def q20(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 def q21(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers of a nation who kept orders waiting: no line of the order was delivered later than theirs."""
     last = F.max("ol_delivery_d").over(Window.partitionBy("ol_o_id"))
-    lines = t.order_line(spark, cfg.sf_dir).select("ol_o_id", "ol_su_key", "ol_delivery_d", last.alias("last")).where(c("ol_delivery_d") == c("last"))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).select("ol_o_id", "ol_su_key", "ol_delivery_d", last.alias("last")).where(c("ol_delivery_d") == c("last"))
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir).where(c("n_name") == cfg["nation"]), c("su_nationkey") == c("n_nationkey"), "left_semi")
-    j = lines.join(t.oorder(spark, cfg.sf_dir), (c("ol_o_id") == c("o_id")) & (c("ol_delivery_d") >= c("o_entry_d"))).join(su, c("ol_su_key") == c("su_suppkey"))
+    j = lines.join(t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of), (c("ol_o_id") == c("o_id")) & (c("ol_delivery_d") >= c("o_entry_d"))).join(su, c("ol_su_key") == c("su_suppkey"))
     return j.groupBy("su_name").agg(F.count("*").alias("numwait")).orderBy(F.desc("numwait"), "su_name")
 
 
@@ -220,7 +220,7 @@ def q22(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Customers of above-average balance without an order since a date, by first letter of the state."""
     cu = t.customer(spark, cfg.sf_dir).where(c("c_phone0").between(1, 7) & (c("c_balance") > cfg["balance_over"]))
     mean = cu.agg((F.sum("c_balance").cast("double") / F.count("*")).alias("mean"))  # one row
-    recent = t.oorder(spark, cfg.sf_dir).where(c("o_entry_d") >= F.to_timestamp_ntz(F.lit(cfg["idle_since"])))
+    recent = t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of).where(c("o_entry_d") >= F.to_timestamp_ntz(F.lit(cfg["idle_since"])))
     idle = cu.join(F.broadcast(mean), c("c_balance").cast("double") >= c("mean")).join(recent, c("c_id") == c("o_c_id"), "left_anti")
     return idle.groupBy(F.substring("c_state", 1, 1).alias("country")).agg(F.count("*").alias("numcust"), _money(c("c_balance")).alias("totacctbal")).orderBy("country")
 

@@ -145,20 +145,20 @@ def _orders(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 
 
 def txn_new_order(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
-    batch = t.order_line(spark, cfg.sf_dir).where(c("ol_o_id") % 10 == 0).withColumn("seq", F.struct("ol_o_id", "ol_number", "ol_quantity"))
+    batch = t.order_line(spark, cfg.sf_dir).withColumn("seq", F.struct("ol_o_id", "ol_number", "ol_quantity"))
     return transactions.new_order_stock(batch, t.stock(spark, cfg.sf_dir).select("s_i_id", "s_su_key", "s_quantity"))
 
 
 def txn_payment(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     cu = t.customer(spark, cfg.sf_dir).select("c_id", "c_balance", F.lit(10).cast(t.MONEY).alias("c_ytd_payment"), F.lit(1).cast("long").alias("c_payment_cnt"), F.when(c("c_id") % 10 == 0, "BC").otherwise("GC").alias("c_credit"), F.lit("data").alias("c_data"))
-    pay = t.oorder(spark, cfg.sf_dir).where(c("o_carrier_id") == 1).select(c("o_c_id").alias("c_id"), c("o_id").alias("seq"), (c("o_id") % 5000 + 1).cast(t.MONEY).alias("amount"))
+    pay = t.oorder(spark, cfg.sf_dir).select(c("o_c_id").alias("c_id"), c("o_id").alias("seq"), (c("o_id") % 5000 + 1).cast(t.MONEY).alias("amount"))
     after = transactions.payment(cu, pay)
     return after.select("c_id", c("c_balance").cast("double").alias("c_balance"), c("c_ytd_payment").cast("double").alias("c_ytd_payment"), "c_payment_cnt", "c_data")
 
 
 def txn_payment_by_name(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     cu = t.customer(spark, cfg.sf_dir)
-    return transactions.payment_customer(cu, cu.where(c("c_nationkey") < 10), group=["c_nationkey"], order="c_last").select("c_nationkey", "c_id")
+    return transactions.payment_customer(cu, cu, group=["c_nationkey"], order="c_last").select("c_nationkey", "c_id")
 
 
 def txn_delivery(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
@@ -241,13 +241,13 @@ SQL = {
     "link_by_range": _LINKED,
     "key_codecs": """WITH k AS (SELECT DISTINCT ol_w_id AS w, ol_i_id % 10 + 1 AS d, ol_o_id AS o, CAST(ol_number AS BIGINT) AS n, ol_i_id + 1 AS i FROM order_line)
         SELECT w * 10 + d AS dk, (w * 10 + d) * 4294967296 + o AS ok, ((w * 10 + d) * 10000000 + o) * 15 + n AS lk, i + w * 100000 AS sk, w * i % 10000 + 1 AS su, w, d, o, n, true AS same, i FROM k""",
-    "txn_new_order": """WITH p AS (SELECT ol_i_id, ol_su_key, list(CAST(ol_quantity AS BIGINT) ORDER BY ol_o_id, ol_number, ol_quantity) AS qs FROM order_line WHERE ol_o_id % 10 = 0 GROUP BY 1, 2)
+    "txn_new_order": """WITH p AS (SELECT ol_i_id, ol_su_key, list(CAST(ol_quantity AS BIGINT) ORDER BY ol_o_id, ol_number, ol_quantity) AS qs FROM order_line GROUP BY 1, 2)
         SELECT s_i_id, s_su_key, list_reduce(list_prepend(CAST(s_quantity AS BIGINT), qs), lambda a, q: CASE WHEN a - q >= 10 THEN a - q ELSE a - q + 91 END) AS s_quantity,
         CAST(list_sum(qs) AS BIGINT) AS s_ytd, CAST(len(qs) AS BIGINT) AS s_order_cnt FROM stock JOIN p ON s_i_id = ol_i_id AND s_su_key = ol_su_key""",
-    "txn_payment": """WITH p AS (SELECT o_c_id, CAST(sum(o_id % 5000 + 1) AS BIGINT) AS paid, count(*) AS n, arg_max(o_id % 5000 + 1, o_id) AS last FROM oorder WHERE o_carrier_id = 1 GROUP BY 1)
+    "txn_payment": """WITH p AS (SELECT o_c_id, CAST(sum(o_id % 5000 + 1) AS BIGINT) AS paid, count(*) AS n, arg_max(o_id % 5000 + 1, o_id) AS last FROM oorder GROUP BY 1)
         SELECT c_id, CAST(c_balance - paid AS DOUBLE) AS c_balance, CAST(10 + paid AS DOUBLE) AS c_ytd_payment, 1 + n AS c_payment_cnt,
         CASE WHEN c_id % 10 = 0 THEN c_id || ' ' || CAST(CAST(last AS DECIMAL(18,2)) AS VARCHAR) || ' |data' ELSE 'data' END AS c_data FROM cust JOIN p ON c_id = o_c_id""",
-    "txn_payment_by_name": """WITH r AS (SELECT c_nationkey, c_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_last, c_id) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM cust WHERE c_nationkey < 10)
+    "txn_payment_by_name": """WITH r AS (SELECT c_nationkey, c_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_last, c_id) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM cust)
         SELECT c_nationkey, c_id FROM r WHERE rn = (n + 1) // 2""",
     "txn_delivery": """WITH f AS (SELECT o_c_id % 10 AS district, min(o_id) AS o_id, arg_min(o_c_id, o_id) AS o_c_id FROM oorder WHERE o_status = 'O' GROUP BY 1)
         SELECT district, o_id, o_c_id, CAST(coalesce(sum(ol_amount), 0) AS DOUBLE) AS amount, count(ol_o_id) AS n_lines FROM f LEFT JOIN order_line ON ol_o_id = o_id GROUP BY 1, 2, 3""",

@@ -5,10 +5,19 @@ Views are plain projections: filters and column choices above them reach the Par
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.snapshots import as_of as snapshot
+
 MONEY = "decimal(18,2)"
+EPOCH_DAYS = 90  # of the change logs: deliveries of lines, entries of orders
+ORDER = ("o_c_id", "o_entry_d", "o_carrier_id", "o_status")
+LINE = ("ol_o_id", "ol_number", "ol_i_id", "ol_su_key", "ol_quantity", "ol_amount", "ol_delivery_d", "ol_w_id")
+
+
+def epoch_of(day: Column) -> Column:
+    return F.floor(F.date_diff(day.cast("date"), F.lit("1995-01-01").cast("date")) / EPOCH_DAYS + 1)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +29,36 @@ def write(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def order_line(spark: SparkSession, sf_dir: str, *, delivered: bool = False) -> DataFrame:
+def line_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines before any delivery, and the log of their deliveries; a line is known by a hash of what never changes."""
+    c = F.col
+    line = F.xxhash64("ol_o_id", "ol_number", "ol_i_id", "ol_su_key", "ol_quantity", "ol_amount", "__shipped").alias("line_id")
+    lines = order_line(spark, sf_dir, shipped=True)
+    base = lines.select(line, *(F.lit(None).cast("timestamp_ntz").alias(x) if x == "ol_delivery_d" else c(x) for x in LINE))
+    done = lines.where(c("ol_delivery_d").isNotNull())
+    values = [c(x) if x == "ol_delivery_d" else F.lit(None).cast(lines.schema[x].dataType).alias(x) for x in LINE]
+    log = done.select(epoch_of(c("ol_delivery_d")).alias("epoch"), F.lit(1).cast("long").alias("seq"), line, F.lit("U").alias("op"), F.array(F.lit("ol_delivery_d")).alias("changed"), *values)
+    return base, log
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """No orders, and the log of their inserts."""
+    orders = oorder(spark, sf_dir)
+    every = F.array(*map(F.lit, ORDER))
+    log = orders.select(epoch_of(F.col("o_entry_d")).alias("epoch"), F.lit(1).cast("long").alias("seq"), "o_id", F.lit("I").alias("op"), every.alias("changed"), *ORDER)
+    return orders.where("false"), log
+
+
+def order_line(spark: SparkSession, sf_dir: str, *, delivered: bool = False, as_of: int | None = None, shipped: bool = False) -> DataFrame:
     """Lines of orders; ol_delivery_d is null until delivered. (order, number) is not unique in the fixtures.
 
-    ``delivered`` keeps delivered lines only, by filters on stored columns, which the scan takes over.
+    ``delivered`` keeps delivered lines only, by filters on stored columns, which the scan takes over. ``as_of`` reads
+    them at an epoch of the log of deliveries (None: the newest, which is what is stored).
     """
     c = F.col
+    if as_of is not None:
+        found = snapshot(*line_log(spark, sf_dir), as_of, key="line_id", columns=LINE).drop("line_id")
+        return found.where(c("ol_delivery_d").isNotNull()) if delivered else found
     lines = read(spark, sf_dir, "lineitem")
     if delivered:
         lines = lines.where((c("l_linestatus") == "F") & c("l_shipdate").isNotNull())
@@ -38,11 +71,15 @@ def order_line(spark: SparkSession, sf_dir: str, *, delivered: bool = False) ->
         c("l_extendedprice").cast(MONEY).alias("ol_amount"),
         F.when(c("l_linestatus") == "F", c("l_shipdate")).alias("ol_delivery_d"),
         (1 + c("l_suppkey") % 10).alias("ol_w_id"),
+        *([c("l_shipdate").alias("__shipped")] if shipped else []),
     )
 
 
-def oorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+def oorder(spark: SparkSession, sf_dir: str, *, as_of: int | None = None) -> DataFrame:
+    """Orders, at an epoch of the log of their inserts (None: the newest, which is what is stored)."""
     c = F.col
+    if as_of is not None:
+        return snapshot(*order_log(spark, sf_dir), as_of, key="o_id", columns=ORDER)
     return read(spark, sf_dir, "orders").select(
         c("o_orderkey").alias("o_id"),
         c("o_custkey").alias("o_c_id"),
@@ -52,8 +89,8 @@ def oorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def new_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oorder(spark, sf_dir).where(F.col("o_status") == "O")
+def new_order(spark: SparkSession, sf_dir: str, *, as_of: int | None = None) -> DataFrame:
+    return oorder(spark, sf_dir, as_of=as_of).where(F.col("o_status") == "O")
 
 
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +136,15 @@ SQL_VIEWS = {
 }
 
 
-def with_views(sql: str) -> str:
-    used = [f"{name} AS ({body})" for name, body in SQL_VIEWS.items() if f" {name}" in sql]
+#: What readers at an epoch see instead, from the stored rows alone.
+_DAYS = "date_diff('day', DATE '1995-01-01', CAST({} AS DATE)) // 90 + 1 <= {}"
+AS_OF_VIEWS = {
+    "order_line": lambda v: SQL_VIEWS["order_line"].replace("l_linestatus = 'F' THEN", f"l_linestatus = 'F' AND {_DAYS.format('l_shipdate', v)} THEN"),
+    "oorder": lambda v: SQL_VIEWS["oorder"] + f" WHERE {_DAYS.format('o_orderdate', v)}",
+}
+
+
+def with_views(sql: str, as_of: int | None = None) -> str:
+    views = SQL_VIEWS if as_of is None else SQL_VIEWS | {name: at(as_of) for name, at in AS_OF_VIEWS.items()}
+    used = [f"{name} AS ({body})" for name, body in views.items() if f" {name}" in sql]
     return ("WITH " + ", ".join(used) + (", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else " " + sql)) if used else sql

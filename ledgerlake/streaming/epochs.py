@@ -4,6 +4,9 @@ Each micro-batch is one commit: late entries (of an epoch that is readable alrea
 rather than dropped, with the epoch they came with beside it; entries are written under the batch's id, replacing what
 an earlier try wrote, and the newest epoch becomes readable with the batch's marker, or, where epochs go on over several
 batches (``hold``), once a later epoch was seen or the input has ended. Readers see whole batches only.
+
+Where entries come over several channels, the read epoch is the least over the channels of the newest epoch that each
+has sent: what a channel sends ahead of the others is kept, and out of readers' view until the slowest has caught up.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators.snapshots import clamp_late
 
-MARKER = "batch long, read_epoch long, newest timestamp_ntz, entries long"
+MARKER = "batch long, read_epoch long, newest timestamp_ntz, entries long, tops map<string, long>"
 OWN = "own_epoch"  # the epoch of an entry before it was moved
 
 
@@ -22,10 +25,12 @@ class EpochPipeline:
     """A change log under ``path``: ``log/batch=N`` and, once it is whole, ``marks/batch=N``.
 
     The newest ``hold`` epochs of a batch aren't readable yet, until a later batch or ``finish`` makes them so.
+    ``channels`` are the values of the column ``channel`` (few, and known from the start); a channel that has sent
+    nothing yet holds everything back. Without them the whole stream is one channel.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, ts: str = "ts", hold: int = 0):
-        self.spark, self.path, self.ts, self.hold = spark, path, ts, hold
+    def __init__(self, spark: SparkSession, path: str, *, ts: str = "ts", hold: int = 0, channels: tuple[str, ...] = ()):
+        self.spark, self.path, self.ts, self.hold, self.channels = spark, path, ts, hold, channels
 
     def marks(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/marks")
@@ -46,15 +51,26 @@ class EpochPipeline:
         at = f"{self.path}/log/batch={batch_id}"
         entries.write.mode("overwrite").parquet(at)
         written = self.spark.read.schema(entries.schema).parquet(at)
-        mark = written.agg(F.lit(batch_id).cast("long").alias("batch"), F.greatest(F.max("epoch") - self.hold, F.lit(known)).cast("long").alias("read_epoch"), F.max(self.ts).alias("newest"), F.count("*").alias("entries"))
+        channel = F.col("channel").cast("string") if self.channels else F.lit("")
+        tops = self._tops(batch_id)
+        for r in written.groupBy(channel.alias("channel")).agg(F.max("epoch").alias("top")).where("channel is not null").collect():  # one row a channel
+            tops[r["channel"]] = max(tops.get(r["channel"], -1), r["top"])
+        read = max(known, min(tops.get(x, -1) for x in self.channels or ("",)) - self.hold)
+        told = F.create_map(*(F.lit(x) for kv in tops.items() for x in kv)).cast("map<string, long>")
+        mark = written.agg(F.lit(batch_id).cast("long").alias("batch"), F.lit(read).cast("long").alias("read_epoch"), F.max(self.ts).alias("newest"), F.count("*").alias("entries"), told.alias("tops"))
         mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch_id}")
 
+    def _tops(self, before: int) -> dict[str, int]:
+        """The newest epoch of each channel in batches before this one."""
+        last = self.marks().where((F.col("batch") < before) & F.col("tops").isNotNull()).agg(F.max_by("tops", "batch")).first()[0]
+        return dict(last or {})
+
     def finish(self) -> None:
         """Make every epoch readable, after the end of the input; doing it again has the same result."""
         last = self.marks().agg(F.max("batch")).first()[0]
         if last is not None:
             every = self.spark.read.schema("epoch long, batch long").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log").where(F.col("batch") <= last)
-            end = every.agg(F.lit(last).cast("long").alias("batch"), F.greatest(F.max("epoch"), F.lit(self.read_epoch())).alias("read_epoch"), F.lit(None).cast("timestamp_ntz").alias("newest"), F.lit(0).cast("long").alias("entries"))
+            end = every.agg(F.lit(last).cast("long").alias("batch"), F.greatest(F.max("epoch"), F.lit(self.read_epoch())).alias("read_epoch"), F.lit(None).cast("timestamp_ntz").alias("newest"), F.lit(0).cast("long").alias("entries"), F.lit(None).cast("map<string, long>").alias("tops"))
             end.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/end={last}")
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
@@ -67,6 +83,10 @@ class EpochPipeline:
         every = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log")
         return every.join(self.marks().select("batch"), "batch", "left_semi").drop("batch")
 
+    def readable(self, schema: str) -> DataFrame:
+        """The entries that readers may see: of committed batches, and not ahead of the read epoch."""
+        return self.log(schema).where(F.col("epoch") <= self.read_epoch())
+
 
 def freshness(log: DataFrame, epoch_seconds: int, *, ts: str = "ts") -> DataFrame:
     """How far each epoch's end is past its newest entry, in seconds: most, least, mean and median over the epochs."""

@@ -161,3 +161,29 @@ def test_config_overrides_defaults():
     assert cfg["nation"] == "N" and cfg["carrier_over"] == 3
     with pytest.raises(KeyError):
         cfg["nothing"]
+
+
+def test_read_epoch_is_the_least_over_channels_and_early_entries_are_held(spark, tmp_path):
+    pipe = EpochPipeline(spark, str(tmp_path / "p"), channels=("a", "b"))
+    schema = "epoch long, channel string, ts timestamp_ntz, v long"
+    batch = lambda *rows: spark.createDataFrame([(e, ch, None, v) for e, ch, v in rows], schema)
+    seen = lambda: sorted((r.epoch, r.own_epoch, r.v) for r in pipe.readable(schema + ", own_epoch long").collect())
+    pipe.commit(batch((1, "a", 10), (9, "a", 11)), 0)
+    assert pipe.read_epoch() == -1 and seen() == []  # b has sent nothing
+    pipe.commit(batch((1, "b", 20), (3, "b", 21)), 1)
+    assert pipe.read_epoch() == 3 and seen() == [(1, 1, 10), (1, 1, 20), (3, 3, 21)]  # 9 came early
+    pipe.commit(batch((2, "a", 12), (5, "b", 22), (4, None, 30)), 2)
+    pipe.commit(batch((2, "a", 12), (5, "b", 22), (4, None, 30)), 2)  # tried again
+    assert pipe.read_epoch() == 5 and seen() == [(1, 1, 10), (1, 1, 20), (3, 3, 21), (4, 2, 12), (4, 4, 30), (5, 5, 22)]  # 2 came late
+    pipe.commit(batch((12, "b", 23)), 3)
+    assert pipe.read_epoch() == 9 and (9, 9, 11) in seen() and (12, 12, 23) not in seen()
+    pipe.finish()
+    assert pipe.read_epoch() == 12 and len(seen()) == 8
+
+
+def test_a_query_at_an_epoch_reads_the_logs(spark, sf):
+    from ledgerlake.plans import analytics
+
+    sums = [analytics.q06(spark, EngineConfig(sf, as_of=e)).first().revenue or 0 for e in (0, 10, 20, 99)]
+    assert sums[0] == 0 < sums[1] < sums[2] < sums[3] == analytics.q06(spark, EngineConfig(sf)).first().revenue
+    assert analytics.q18(spark, EngineConfig(sf, as_of=0)).count() == 0
