@@ -80,8 +80,10 @@ def q04_exists(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 def q05(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Revenue in a region where customer and supplier are of one nation."""
     su = t.supplier(spark, cfg.sf_dir).join(_nation_of_region(spark, cfg), c("su_nationkey") == c("n_nationkey"))
-    j = _lines_and_orders(spark, cfg).join(su, c("ol_su_key") == c("su_suppkey"))
-    j = j.join(t.customer(spark, cfg.sf_dir), (c("o_c_id") == c("c_id")) & (c("c_nationkey") == c("su_nationkey")))
+    cu = t.customer(spark, cfg.sf_dir).join(_nation_of_region(spark, cfg), c("c_nationkey") == c("n_nationkey"), "left_semi")
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).join(su, c("ol_su_key") == c("su_suppkey"))
+    orders = t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of).join(cu.select("c_id", "c_nationkey"), c("o_c_id") == c("c_id"))
+    j = lines.join(orders, (c("ol_o_id") == c("o_id")) & (c("c_nationkey") == c("su_nationkey")))
     return j.groupBy("n_name").agg(_money(c("ol_amount")).alias("revenue")).orderBy(F.desc("revenue"))
 
 
@@ -95,7 +97,9 @@ def q07(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     both = t.nation(spark, cfg.sf_dir).where(c("n_name").isin(cfg["nation"], cfg["other_nation"]))
     su = t.supplier(spark, cfg.sf_dir).join(both.select(c("n_nationkey").alias("su_nationkey"), c("n_name").alias("supp_nation")), "su_nationkey")
     cu = t.customer(spark, cfg.sf_dir).join(both.select(c("n_nationkey").alias("c_nationkey"), c("n_name").alias("cust_nation")), "c_nationkey")
-    j = _lines_and_orders(spark, cfg, delivered=True).join(su, c("ol_su_key") == c("su_suppkey")).join(cu, (c("o_c_id") == c("c_id")) & (c("supp_nation") != c("cust_nation")))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).join(su, c("ol_su_key") == c("su_suppkey"))
+    orders = t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of).join(cu, c("o_c_id") == c("c_id"))
+    j = lines.join(orders, (c("ol_o_id") == c("o_id")) & (c("supp_nation") != c("cust_nation")))
     return j.groupBy("supp_nation", "cust_nation", F.year("o_entry_d").cast("long").alias("l_year")).agg(_money(c("ol_amount")).alias("revenue")).orderBy("supp_nation", "cust_nation", "l_year")
 
 
@@ -104,7 +108,8 @@ def q08(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     cu = t.customer(spark, cfg.sf_dir).join(_nation_of_region(spark, cfg), c("c_nationkey") == c("n_nationkey"), "left_semi")
     items = t.item(spark, cfg.sf_dir).where(c("i_data").endswith(cfg["item_suffix"]))
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir).select(c("n_nationkey").alias("su_nationkey"), "n_name"), "su_nationkey")
-    j = _lines_and_orders(spark, cfg).join(cu, c("o_c_id") == c("c_id"), "left_semi").join(items, c("ol_i_id") == c("i_id"), "left_semi").join(su, c("ol_su_key") == c("su_suppkey"))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).join(items, c("ol_i_id") == c("i_id"), "left_semi").join(su, c("ol_su_key") == c("su_suppkey"))
+    j = lines.join(t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of).join(cu, c("o_c_id") == c("c_id"), "left_semi"), c("ol_o_id") == c("o_id"))
     own = F.sum(F.when(c("n_name") == cfg["nation"], c("ol_amount")).otherwise(F.lit(0).cast(t.MONEY)))
     return j.groupBy(F.year("o_entry_d").cast("long").alias("l_year")).agg(own.cast("double").alias("nation_amount"), _ratio(own, F.sum("ol_amount")).alias("mkt_share")).orderBy("l_year")
 
@@ -200,9 +205,9 @@ def q19(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 def q20(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers with a surplus of some item: twice the stock exceeds all that was delivered."""
     items = t.item(spark, cfg.sf_dir).where(c("i_data").startswith(cfg["surplus_prefix"]))
-    # stock is derived from the same lines: one grouping gives both what was ordered and what was delivered
+    # the stock has a row for each (item, supplier) of the same lines, so that one grouping gives both sides
     sold = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).join(items, c("ol_i_id") == c("i_id"), "left_semi").groupBy("ol_i_id", "ol_su_key").agg(F.sum("ol_quantity").alias("q"))
-    j = sold.join(t.stock(spark, cfg.sf_dir), (c("ol_i_id") == c("s_i_id")) & (c("ol_su_key") == c("s_su_key"))).where(2 * c("s_quantity") > c("q")).select("s_su_key").distinct()
+    j = sold.where(2 * t.stock_quantity(c("ol_i_id"), c("ol_su_key")) > c("q")).select(c("ol_su_key").alias("s_su_key"))
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir), c("su_nationkey") == c("n_nationkey"))
     return su.join(j, c("su_suppkey") == c("s_su_key"), "left_semi").select("su_suppkey", "su_name", "n_name").orderBy("su_name")
 
@@ -210,7 +215,7 @@ def q20(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
 def q21(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     """Suppliers of a nation who kept orders waiting: no line of the order was delivered later than theirs."""
     last = F.max("ol_delivery_d").over(Window.partitionBy("ol_o_id"))
-    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of).select("ol_o_id", "ol_su_key", "ol_delivery_d", last.alias("last")).where(c("ol_delivery_d") == c("last"))
+    lines = t.order_line(spark, cfg.sf_dir, as_of=cfg.as_of, delivered=True).select("ol_o_id", "ol_su_key", "ol_delivery_d", last.alias("last")).where(c("ol_delivery_d") == c("last"))
     su = t.supplier(spark, cfg.sf_dir).join(t.nation(spark, cfg.sf_dir).where(c("n_name") == cfg["nation"]), c("su_nationkey") == c("n_nationkey"), "left_semi")
     j = lines.join(t.oorder(spark, cfg.sf_dir, as_of=cfg.as_of), (c("ol_o_id") == c("o_id")) & (c("ol_delivery_d") >= c("o_entry_d"))).join(su, c("ol_su_key") == c("su_suppkey"))
     return j.groupBy("su_name").agg(F.count("*").alias("numwait")).orderBy(F.desc("numwait"), "su_name")

@@ -105,10 +105,14 @@ def item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(c("p_partkey").alias("i_id"), c("p_name").alias("i_name"), c("p_retailprice").alias("i_price"), F.concat_ws(" ", "p_type", "p_name").alias("i_data"))
 
 
+def stock_quantity(item: Column, supplier: Column) -> Column:
+    return 10 + (item * 7 + supplier * 13) % 91
+
+
 def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (item, supplier) that was ever ordered."""
     pairs = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("s_i_id"), F.col("l_suppkey").alias("s_su_key")).agg(F.count("*").alias("s_order_cnt"))
-    return pairs.withColumn("s_quantity", 10 + (F.col("s_i_id") * 7 + F.col("s_su_key") * 13) % 91)
+    return pairs.withColumn("s_quantity", stock_quantity(F.col("s_i_id"), F.col("s_su_key")))
 
 
 def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
