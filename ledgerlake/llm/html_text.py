@@ -331,14 +331,14 @@ def fit(pages: DataFrame, *, html_col: str = "html", most_pages: int = 400, layo
     one = pages.select(F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     n = one.count()
     share = min(1.0, most_pages / max(n, 1))
-    chosen = one.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    chosen = one.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) <= int(share * (1 << 20))).dropDuplicates(["html"])  # copies of a page are chosen together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("html").to_pylist():
                 page = Page(text)
                 measure(page)
-                blocks = [t for node in page.nodes for _, t in node.runs][:40] or ["text"]
+                blocks = [t for node in page.nodes for _, t in node.runs] or ["text"]
                 r = random.Random(len(text) * 31 + len(blocks))
                 xs, ys = [], []
                 for _ in range(layouts):
