@@ -295,6 +295,24 @@ def compose(blocks: list[str], r: random.Random) -> str:
         each = "".join(f'<{t} class="{r.choice(["comment", "reply", "user-comment"])}" data-known="0"><p data-known="0">{e(some(1, 2))}: {sentence()}</p></{t}>' for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 6)))
         return box(plain_tags, 8, f'<h3 data-known="0">{e(some(1, 2))}</h3>' + each, 0) if not mute else ""
 
+    def special(block: str) -> str:
+        """A list, table, figure, quotation, code or definition list of the article, with the block's words as its text."""
+        words, own = block.split(), lambda tag, inside: f'<{tag} data-known="1">{inside}</{tag}>'
+        n = r.randint(1, min(6, max(1, len(words))))
+        cuts = sorted(r.sample(range(1, len(words)), min(n, len(words)) - 1)) if len(words) > 1 else []
+        parts = [e(" ".join(words[a:b])) for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True)]
+        kind = r.choice(["ul", "ol", "table", "figure", "blockquote", "pre", "dl"])
+        if kind in ("ul", "ol"):
+            return own(kind, "".join(own("li", x) for x in parts))
+        if kind == "table":
+            wide = r.randint(1, 4)
+            return own("table", "".join(own("tr", "".join(own(r.choice(["td", "td", "th"]), x) for x in parts[i : i + wide])) for i in range(0, len(parts), wide)))
+        if kind == "figure":
+            return own("figure", '<img src="i.png">' + own("figcaption", e(block)))
+        if kind == "dl":
+            return own("dl", "".join(own(("dt", "dd")[i % 2], x) for i, x in enumerate(parts)))
+        return own(kind, e(block) if kind == "pre" or r.random() < 0.5 else own("p", e(block)))
+
     modules = {
         "nav": lambda: box(["nav", "div", "nav"], 1, links(), 0),
         "header": lambda: box(["header", "div"], 2, f'<h2 data-known="0"><a href="/">{e(some(1, 3))}</a></h2>' + (links() if r.random() < 0.5 else par(sentence(), 0)), 0),
@@ -310,8 +328,9 @@ def compose(blocks: list[str], r: random.Random) -> str:
         title = f'<h1 data-known="1">{e(blocks[0][:60])}</h1>'
         ad = f'<div class="ad" data-known="0">{sentence()}</div>' if r.random() < 0.7 else ""
         return f'<html><body><nav data-known="0">{links()}</nav>{ad}<article data-known="1">{title}{"".join(body)}</article><footer data-known="0">&copy; {sentence()}</footer></body></html>'
-    if r.random() < 0.3 and len(blocks) > 2:
-        body[1] = f'<ul data-known="1"><li data-known="1">{e(blocks[1])}</li></ul>'
+    for i in range(1, len(blocks)):  # some blocks of an article are no plain paragraphs
+        if r.random() < 0.2:
+            body[i] = special(blocks[i])
     if r.random() < 0.3:
         body.insert(r.randint(0, len(body)), f'<h2 data-known="1">{e(some(1, 6))}</h2>')
     inner = r.choices(["ad", "notice", "side", "form", "none"], [4, 2, 2, 1, 6])[0]

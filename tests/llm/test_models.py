@@ -158,6 +158,15 @@ def test_main_text_of_another_layout(page_model):
     assert text[1] == ""
 
 
+def test_tables_figures_and_code_of_an_article_are_kept(page_model):
+    prose = "<p>The council met on Tuesday to discuss the new plan for the harbour, and many people came, who asked what it would cost.</p>"
+    table = "<table><tr><td>cell one</td><td>cell two</td></tr><tr><td>cell three</td><td>cell four</td></tr></table>"
+    page = f"<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><h1>T</h1>{prose}<pre>x = 1</pre>{table}{prose}<figure><img src='i'><figcaption>A caption of the picture</figcaption></figure><blockquote>They said so.</blockquote></article><footer>&copy; 2020</footer></body></html>"
+    got = html_text.main_texts([page], page_model)[0].split("\n")
+    said = re.sub("<[^>]*>", "", prose)
+    assert got == ["T", said, "x = 1", "cell one", "cell two", "cell three", "cell four", said, "A caption of the picture", "They said so."]
+
+
 def test_held_out_layouts(page_model):
     r, right, total = random.Random(99), 0, 0
     blocks = [" ".join(f"{w}{r.randrange(50)}" for w in r.choices(["ala", "bero", "cinta", "dor"], k=r.randint(4, 40))) + "." for _ in range(40)]
