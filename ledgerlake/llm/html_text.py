@@ -324,13 +324,23 @@ def compose(blocks: list[str], r: random.Random) -> str:
         "comments": comments,
     }
     body = [par(e(b), 1) for b in blocks]
-    if r.random() < 0.2:  # the plainest layout: semantic tags and nothing else
-        title = f'<h1 data-known="1">{e(blocks[0][:60])}</h1>'
-        ad = f'<div class="ad" data-known="0">{sentence()}</div>' if r.random() < 0.7 else ""
-        return f'<html><body><nav data-known="0">{links()}</nav>{ad}<article data-known="1">{title}{"".join(body)}</article><footer data-known="0">&copy; {sentence()}</footer></body></html>'
     for i in range(1, len(blocks)):  # some blocks of an article are no plain paragraphs
         if r.random() < 0.2:
             body[i] = special(blocks[i])
+    if r.random() < 0.25:  # semantic tags without attributes: only structure tells
+        tag = r.choice(["article", "main"])
+        bare = {
+            "nav": lambda: f'<nav data-known="0">{links()}</nav>',
+            "header": lambda: f'<header data-known="0"><h2 data-known="0">{e(some(1, 4))}</h2>{r.choice(["", par(sentence(), 0)])}</header>',
+            "aside": lambda: f'<aside data-known="0">{r.choice([links(), par(sentence(), 0)])}</aside>',
+            "footer": lambda: f'<footer data-known="0">{r.choice(["", "&copy; "])}{r.choice([sentence(), par(sentence(), 0)])}</footer>',
+            "ad": lambda: modules["ad"]() or f'<aside data-known="0">{sentence()}</aside>',
+            "form": modules["form"],
+        }
+        heading = r.choice(["", f'<h1 data-known="1">{e(r.choice([some(2, 10), " ".join(blocks[0].split()[:10])]))}</h1>'])
+        before = "".join(bare[m]() for m in ("header", "nav", "ad", "aside", "form") if r.random() < 0.5)
+        after = "".join(bare[m]() for m in ("ad", "aside", "nav", "footer") if r.random() < 0.5)
+        return f'<html><body>{before}<{tag} data-known="1">{heading}{"".join(body)}</{tag}>{after}</body></html>'
     if r.random() < 0.3:
         body.insert(r.randint(0, len(body)), f'<h2 data-known="1">{e(some(1, 6))}</h2>')
     inner = r.choices(["ad", "notice", "side", "form", "none"], [4, 2, 2, 1, 6])[0]
