@@ -19,7 +19,7 @@ def test_counts_match_the_library_on_every_code_point(path):
     library, count = Tokenizer.from_file(path), token_counts.Counter(path)
     points = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000] + [chr(i) for i in range(0x3000, 0x1FFFF, 97) if not 0xD800 <= i < 0xE000]
     bad = [hex(ord(c)) for c in points if count(f"a{c}b {c}{c}") != len(library.encode(f"a{c}b {c}{c}", add_special_tokens=False).ids)]
-    assert len(bad) < 0.002 * len(points), bad  # letters of Unicode versions that only one of the two knows
+    assert not bad
 
 
 @settings(max_examples=200, deadline=None)
