@@ -1,7 +1,8 @@
-"""The effects of the five transactions, as batches of expressions and change-log entries.
+"""The effects of the five transactions: rows after a batch, and the change-log entries that a batch writes.
 
-Spark is no transaction processor: what a batch of committed transactions does to the tables is computed set-wise, in
-the order that their log gives them.
+Spark is no transaction processor: what a batch of committed transactions does to the tables is computed set-wise. The
+``*_entries`` functions give for each table the log entries of a batch, in the form that ``snapshots.as_of`` reads: one
+entry a key and batch, with the values after the batch.
 """
 
 from __future__ import annotations
@@ -17,17 +18,20 @@ def stock_after(quantity: Column, ordered: Column) -> Column:
     return F.when(quantity - ordered >= 10, quantity - ordered).otherwise(quantity - ordered + 91)
 
 
-def new_order_stock(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """Stock rows after a batch of new order lines, one step a line in order of ``seq``.
+def new_order_stock(lines: DataFrame, stock: DataFrame, *, most: int = 91) -> DataFrame:
+    """Stock rows after a batch of new order lines.
 
-    The refill makes steps depend on each other, so a row's lines are folded in order; a row's lines of one batch are
-    few, and the fold needs no window over the table.
+    A step takes a quantity of at most 91 from a stock of 10 to 100 and refills by 91, so it stays in that range and is
+    a subtraction modulo 91: any number of steps, in any order, is one sum, which is aggregated before the shuffle.
+    Rows for which this doesn't hold (another stock, a quantity under 0 or over 91) are refused.
     """
-    per = lines.groupBy("ol_i_id", "ol_su_key").agg(F.array_sort(F.collect_list(F.struct("seq", c("ol_quantity").cast("long").alias("q")))).alias("steps"))
+    q = c("ol_quantity").cast("long")
+    per = lines.groupBy("ol_i_id", "ol_su_key").agg(F.sum(q).alias("taken"), F.count("*").alias("n"), F.min(q).alias("least"), F.max(q).alias("largest"))
     j = stock.join(per, (c("s_i_id") == c("ol_i_id")) & (c("s_su_key") == c("ol_su_key")))
-    after = F.aggregate("steps", c("s_quantity").cast("long"), lambda s, x: stock_after(s, x["q"]))
-    ytd = F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + x["q"])
-    return j.select("s_i_id", "s_su_key", after.alias("s_quantity"), ytd.alias("s_ytd"), F.size("steps").cast("long").alias("s_order_cnt"))
+    before = c("s_quantity").cast("long")
+    fits = before.between(10, 100) & (c("least") >= 0) & (c("largest") <= most)
+    after = F.when(fits, F.lit(10) + F.pmod(before - c("taken") - 10, F.lit(91))).otherwise(F.raise_error(F.lit("stock of 10 to 100 and quantities of 0 to 91 expected")).cast("long"))
+    return j.select("s_i_id", "s_su_key", after.alias("s_quantity"), c("taken").alias("s_ytd"), c("n").alias("s_order_cnt"))
 
 
 def payment_customer(customers: DataFrame, by_name: DataFrame, *, group: list[str], order: str) -> DataFrame:
@@ -51,12 +55,17 @@ def payment(customers: DataFrame, payments: DataFrame, *, most_data: int = 500)
     )
 
 
-def delivery(open_orders: DataFrame, lines: DataFrame, *, district: str = "district") -> DataFrame:
-    """The oldest open order of each district and the amount that its customer's balance grows by."""
+def delivered(open_orders: DataFrame, lines: DataFrame, *, district: str = "district") -> DataFrame:
+    """The oldest open order of each district, with the amount (decimal) and number of its lines."""
     oldest = open_orders.groupBy(district).agg(F.min_by("o_c_id", "o_id").alias("o_c_id"), F.min("o_id").alias("o_id"))
     sums = lines.join(oldest.select("o_id"), c("ol_o_id") == c("o_id"), "left_semi").groupBy("ol_o_id").agg(F.sum("ol_amount").alias("amount"), F.count("*").alias("n_lines"))
     j = oldest.join(sums, c("o_id") == c("ol_o_id"), "left")
-    return j.select(district, "o_id", "o_c_id", F.coalesce(c("amount").cast("double"), F.lit(0.0)).alias("amount"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    return j.select(district, "o_id", "o_c_id", F.coalesce("amount", F.lit(0)).alias("amount"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+def delivery(open_orders: DataFrame, lines: DataFrame, *, district: str = "district") -> DataFrame:
+    """The oldest open order of each district and the amount that its customer's balance grows by."""
+    return delivered(open_orders, lines, district=district).withColumn("amount", c("amount").cast("double"))
 
 
 def order_status(orders: DataFrame, lines: DataFrame) -> DataFrame:
@@ -73,3 +82,67 @@ def stock_level(orders: DataFrame, lines: DataFrame, stock: DataFrame, *, distri
     low = stock.where(c("s_quantity") < threshold)
     j = lines.join(recent, c("ol_o_id") == c("o_id")).join(low, (c("ol_i_id") == c("s_i_id")) & (c("ol_su_key") == c("s_su_key")))
     return j.groupBy(district).agg(F.countDistinct("s_i_id", "s_su_key").alias("low_stock"))
+
+
+# ---- change-log entries ----------------------------------------------------------------------------------
+
+
+def entries(rows: DataFrame, base: DataFrame, *, key: str, epoch: int, op: str = "U") -> DataFrame:
+    """Log entries for a table like ``base``: each row sets those of its columns that the table has (a D sets none)."""
+    columns = [x for x in base.columns if x != key]
+    set_ = [] if op == "D" else [x for x in columns if x in rows.columns]
+    values = [(c(x) if x in set_ else F.lit(None)).cast(base.schema[x].dataType).alias(x) for x in columns]
+    changed = F.array(*map(F.lit, set_)).cast("array<string>").alias("changed")
+    return rows.select(F.lit(epoch).cast("long").alias("epoch"), F.lit(1).cast("long").alias("seq"), key, F.lit(op).alias("op"), changed, *values)
+
+
+def new_order_entries(orders: DataFrame, lines: DataFrame, base: dict[str, DataFrame], epoch: int) -> dict[str, DataFrame]:
+    """A batch of new orders: inserts of orders, new_order rows and lines; each district's counter and the stock move on.
+
+    Orders have o_id, o_c_id, o_entry_d and o_d_id; they come without a carrier, their lines without a delivery date.
+    """
+    per = orders.groupBy(c("o_d_id").alias("d_id")).agg(F.count("*").alias("n"))
+    counters = base["district"].join(per, "d_id").select("d_id", (c("d_next_o_id") + c("n")).alias("d_next_o_id"))
+    moved = new_order_stock(lines, base["stock"].select("s_i_id", "s_su_key", "s_quantity"))
+    old = base["stock"].select("s_id", "s_i_id", "s_su_key", c("s_ytd").alias("ytd"), c("s_order_cnt").alias("cnt"))
+    stock = moved.join(old, ["s_i_id", "s_su_key"]).select("s_id", "s_quantity", (c("s_ytd") + c("ytd")).alias("s_ytd"), (c("s_order_cnt") + c("cnt")).alias("s_order_cnt"))
+    return {
+        "oorder": entries(orders.withColumn("o_carrier_id", F.lit(None)), base["oorder"], key="o_id", epoch=epoch, op="I"),
+        "new_order": entries(orders.select("o_id", "o_d_id"), base["new_order"], key="o_id", epoch=epoch, op="I"),
+        "order_line": entries(lines.withColumn("ol_delivery_d", F.lit(None)), base["order_line"], key="line_id", epoch=epoch, op="I"),
+        "district": entries(counters, base["district"], key="d_id", epoch=epoch),
+        "stock": entries(stock, base["stock"], key="s_id", epoch=epoch),
+    }
+
+
+def payment_entries(payments: DataFrame, base: dict[str, DataFrame], epoch: int) -> dict[str, DataFrame]:
+    """A batch of payments (seq, c_id, d_id, amount): customers, totals of districts and warehouses, and their history.
+
+    The note of a history row is the warehouse's name, four spaces and the district's name.
+    """
+    per = payments.groupBy("d_id").agg(F.sum("amount").alias("paid"))  # a row a district
+    districts = base["district"].join(per, "d_id")
+    totals = districts.groupBy(c("d_w_id").alias("w_id")).agg(F.sum("paid").alias("paid"))
+    names = base["district"].join(base["warehouse"], c("d_w_id") == c("w_id")).select("d_id", F.concat("w_name", F.lit("    "), "d_name").alias("h_data"))
+    rows = payments.join(names, "d_id").select(c("seq").alias("h_id"), c("c_id").alias("h_c_id"), c("d_id").alias("h_d_id"), c("amount").alias("h_amount"), "h_data")
+    return {
+        "customer": entries(payment(base["customer"], payments), base["customer"], key="c_id", epoch=epoch),
+        "district": entries(districts.select("d_id", (c("d_ytd") + c("paid")).alias("d_ytd")), base["district"], key="d_id", epoch=epoch),
+        "warehouse": entries(base["warehouse"].join(totals, "w_id").select("w_id", (c("w_ytd") + c("paid")).alias("w_ytd")), base["warehouse"], key="w_id", epoch=epoch),
+        "history": entries(rows, base["history"], key="h_id", epoch=epoch, op="I"),
+    }
+
+
+def delivery_entries(base: dict[str, DataFrame], epoch: int, *, carrier: int, day: Column) -> dict[str, DataFrame]:
+    """One delivery in each district: its oldest new order goes, gets a carrier, its lines a date, its customer the amount."""
+    open_ = base["oorder"].join(base["new_order"].select("o_id"), "o_id", "left_semi")
+    done = delivered(open_, base["order_line"], district="o_d_id")
+    per = done.groupBy(c("o_c_id").alias("c_id")).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
+    owing = base["customer"].join(per, "c_id").select("c_id", (c("c_balance") + c("amount")).alias("c_balance"), (c("c_delivery_cnt") + c("n")).alias("c_delivery_cnt"))
+    lines = base["order_line"].join(done.select("o_id"), c("ol_o_id") == c("o_id"), "left_semi").select("line_id", day.alias("ol_delivery_d"))
+    return {
+        "new_order": entries(done, base["new_order"], key="o_id", epoch=epoch, op="D"),
+        "oorder": entries(done.select("o_id", F.lit(carrier).alias("o_carrier_id")), base["oorder"], key="o_id", epoch=epoch),
+        "order_line": entries(lines, base["order_line"], key="line_id", epoch=epoch),
+        "customer": entries(owing, base["customer"], key="c_id", epoch=epoch),
+    }

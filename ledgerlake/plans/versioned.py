@@ -144,15 +144,24 @@ def _orders(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     return t.oorder(spark, cfg.sf_dir).withColumn("district", c("o_c_id") % 10)
 
 
+def _customers(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    return t.customer(spark, cfg.sf_dir).select(
+        "c_id", "c_balance", F.lit(10).cast(t.MONEY).alias("c_ytd_payment"), F.lit(1).cast("long").alias("c_payment_cnt"), F.lit(0).cast("long").alias("c_delivery_cnt"),
+        F.when(c("c_id") % 10 == 0, "BC").otherwise("GC").alias("c_credit"), F.lit("data").alias("c_data"),
+    )
+
+
+def _payments(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """A payment for each order."""
+    return t.oorder(spark, cfg.sf_dir).select(c("o_c_id").alias("c_id"), (c("o_c_id") % 10).alias("d_id"), c("o_id").alias("seq"), (c("o_id") % 5000 + 1).cast(t.MONEY).alias("amount"))
+
+
 def txn_new_order(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
-    batch = t.order_line(spark, cfg.sf_dir).withColumn("seq", F.struct("ol_o_id", "ol_number", "ol_quantity"))
-    return transactions.new_order_stock(batch, t.stock(spark, cfg.sf_dir).select("s_i_id", "s_su_key", "s_quantity"))
+    return transactions.new_order_stock(t.order_line(spark, cfg.sf_dir), t.stock(spark, cfg.sf_dir).select("s_i_id", "s_su_key", "s_quantity"))
 
 
 def txn_payment(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
-    cu = t.customer(spark, cfg.sf_dir).select("c_id", "c_balance", F.lit(10).cast(t.MONEY).alias("c_ytd_payment"), F.lit(1).cast("long").alias("c_payment_cnt"), F.when(c("c_id") % 10 == 0, "BC").otherwise("GC").alias("c_credit"), F.lit("data").alias("c_data"))
-    pay = t.oorder(spark, cfg.sf_dir).select(c("o_c_id").alias("c_id"), c("o_id").alias("seq"), (c("o_id") % 5000 + 1).cast(t.MONEY).alias("amount"))
-    after = transactions.payment(cu, pay)
+    after = transactions.payment(_customers(spark, cfg), _payments(spark, cfg))
     return after.select("c_id", c("c_balance").cast("double").alias("c_balance"), c("c_ytd_payment").cast("double").alias("c_ytd_payment"), "c_payment_cnt", "c_data")
 
 
@@ -173,6 +182,82 @@ def txn_stock_level(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     return transactions.stock_level(_orders(spark, cfg), t.order_line(spark, cfg.sf_dir), t.stock(spark, cfg.sf_dir))
 
 
+def _ledger(spark: SparkSession, cfg: EngineConfig) -> dict[str, DataFrame]:
+    """The tables after three batches (epochs 1 to 3): open orders come in, each order is paid for, districts deliver.
+
+    Orders that aren't open and their lines are the base. Each batch reads the snapshot that the one before it left.
+    """
+    orders = t.oorder(spark, cfg.sf_dir).withColumn("o_d_id", c("o_c_id") % 10)
+    came = c("o_status").eqNullSafe("O")
+    line_id = F.struct("ol_o_id", "ol_number", "ol_i_id", "ol_su_key", "ol_quantity", "ol_amount", "__shipped").alias("line_id")
+    lines = t.order_line(spark, cfg.sf_dir, shipped=True).select(line_id, "ol_o_id", "ol_i_id", "ol_su_key", "ol_quantity", "ol_amount", "ol_delivery_d")
+    new_ids = orders.where(came).select("o_id")
+    new_lines = lines.join(new_ids, c("ol_o_id") == c("o_id"), "left_semi")
+    shown = ["o_id", "o_c_id", "o_entry_d", c("o_carrier_id").cast("long").alias("o_carrier_id"), "o_d_id"]
+    counts = orders.where(~came).groupBy(c("o_d_id").alias("d_id")).agg(F.count("*").alias("n"))
+    districts = spark.range(10).select(c("id").alias("d_id"))
+    base = {
+        "warehouse": spark.createDataFrame([(1, "W1")], "w_id long, w_name string").withColumn("w_ytd", F.lit(300_000).cast(t.MONEY)),
+        "district": districts.join(counts, "d_id", "left").select("d_id", F.lit(1).cast("long").alias("d_w_id"), F.format_string("D%d", c("d_id")).alias("d_name"), (F.coalesce("n", F.lit(0)) + 1).alias("d_next_o_id"), F.lit(30_000).cast(t.MONEY).alias("d_ytd")),
+        "customer": _customers(spark, cfg),
+        "oorder": orders.where(~came).select(*shown),
+        "new_order": orders.where("false").select("o_id", "o_d_id"),
+        "order_line": lines.join(new_ids, c("ol_o_id") == c("o_id"), "left_anti"),
+        "stock": t.stock(spark, cfg.sf_dir).select(F.struct("s_i_id", "s_su_key").alias("s_id"), "s_i_id", "s_su_key", "s_quantity", F.lit(0).cast("long").alias("s_ytd"), F.lit(0).cast("long").alias("s_order_cnt")),
+        "history": spark.createDataFrame([], f"h_id long, h_c_id long, h_d_id long, h_amount {t.MONEY}, h_data string"),
+    }
+    keys_ = {"warehouse": "w_id", "district": "d_id", "customer": "c_id", "oorder": "o_id", "new_order": "o_id", "order_line": "line_id", "stock": "s_id", "history": "h_id"}
+
+    def after(logs: dict[str, DataFrame], epoch: int) -> dict[str, DataFrame]:
+        found = {n: snapshots.as_of(at[n], log, epoch, key=keys_[n], columns=[x for x in at[n].columns if x != keys_[n]]) for n, log in logs.items()}
+        return at | found
+
+    at = base
+    at = after(transactions.new_order_entries(orders.where(came).select(*shown), new_lines, at, 1), 1)
+    at = after(transactions.payment_entries(_payments(spark, cfg), at, 2), 2)
+    return after(transactions.delivery_entries(at, 3, carrier=7, day=F.lit("2002-01-01").cast("timestamp_ntz")), 3)
+
+
+def ledger_warehouse(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Warehouse totals after the three batches."""
+    return _ledger(spark, cfg)["warehouse"].select("w_id", c("w_ytd").cast("double").alias("w_ytd"))
+
+
+def ledger_district(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """District counters and totals after the three batches."""
+    return _ledger(spark, cfg)["district"].select("d_id", "d_next_o_id", c("d_ytd").cast("double").alias("d_ytd"))
+
+
+def ledger_customer(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Customers after the three batches."""
+    return _ledger(spark, cfg)["customer"].select("c_id", c("c_balance").cast("double").alias("c_balance"), c("c_ytd_payment").cast("double").alias("c_ytd_payment"), "c_payment_cnt", "c_delivery_cnt", "c_data")
+
+
+def ledger_orders(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Orders with their carriers after the three batches (-1: none)."""
+    return _ledger(spark, cfg)["oorder"].select("o_id", "o_c_id", F.coalesce("o_carrier_id", F.lit(-1)).alias("o_carrier_id"))
+
+
+def ledger_new_order(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Orders that are still to be delivered after the three batches."""
+    return _ledger(spark, cfg)["new_order"].select("o_id", "o_d_id")
+
+
+def ledger_lines(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Lines and delivered lines of each order after the three batches."""
+    return _ledger(spark, cfg)["order_line"].groupBy("ol_o_id").agg(F.count("*").alias("n_lines"), F.count("ol_delivery_d").alias("n_delivered"), F.max("ol_delivery_d").alias("last_delivery"))
+
+
+def ledger_stock(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Stock after the three batches."""
+    return _ledger(spark, cfg)["stock"].select("s_i_id", "s_su_key", c("s_quantity").cast("long").alias("s_quantity"), "s_ytd", "s_order_cnt")
+
+
+def ledger_history(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """Payments as the history has them."""
+    return _ledger(spark, cfg)["history"].select("h_id", "h_c_id", "h_d_id", c("h_amount").cast("double").alias("h_amount"), "h_data")
+
+
 # ---- streaming ----------------------------------------------------------------------------------------
 
 
@@ -223,6 +308,7 @@ def _snap(v: int, rest: str) -> str:
 
 _PLAIN = "SELECT o_id, coalesce(CAST(CAST(delivery_d AS DATE) AS VARCHAR), 'never') AS delivery_d, coalesce(carrier, -1) AS carrier, coalesce(last_item, -1) AS last_item FROM snap"
 _SNAPSHOT = _PLAIN + " WHERE op <> 'D'"
+_DELIVERED = "f AS (SELECT o_c_id % 10 AS district, min(o_id) AS o_id, arg_min(o_c_id, o_id) AS o_c_id FROM oorder WHERE o_status = 'O' GROUP BY 1)"
 _LINKED = "SELECT CAST(sum(ol_amount) AS DOUBLE) AS amount, count(*) AS n_lines FROM order_line JOIN oorder ON ol_o_id = o_id"
 SQL = {
     "snapshot_mid": _snap(10, _SNAPSHOT),
@@ -255,6 +341,21 @@ SQL = {
         SELECT o_c_id, o_id, count(ol_o_id) AS n_lines, CAST(coalesce(sum(ol_amount), 0) AS DOUBLE) AS amount, max(ol_delivery_d) AS last_delivery FROM f LEFT JOIN order_line ON ol_o_id = o_id GROUP BY 1, 2""",
     "txn_stock_level": """WITH f AS (SELECT o_c_id % 10 AS district, o_id FROM oorder QUALIFY row_number() OVER (PARTITION BY o_c_id % 10 ORDER BY o_id DESC) <= 20)
         SELECT district, count(DISTINCT (s_i_id, s_su_key)) AS low_stock FROM f JOIN order_line ON ol_o_id = o_id JOIN stock ON s_i_id = ol_i_id AND s_su_key = ol_su_key WHERE s_quantity < 20 GROUP BY 1""",
+    "ledger_warehouse": "SELECT CAST(1 AS BIGINT) AS w_id, CAST(300000 + sum(o_id % 5000 + 1) AS DOUBLE) AS w_ytd FROM oorder",
+    "ledger_district": """SELECT d_id, count(o_id) + 1 AS d_next_o_id, CAST(30000 + coalesce(sum(o_id % 5000 + 1), 0) AS DOUBLE) AS d_ytd
+        FROM range(10) r(d_id) LEFT JOIN oorder ON o_c_id % 10 = d_id GROUP BY 1""",
+    "ledger_customer": f"""WITH p AS (SELECT o_c_id, CAST(sum(o_id % 5000 + 1) AS BIGINT) AS paid, count(*) AS n, arg_max(o_id % 5000 + 1, o_id) AS last FROM oorder GROUP BY 1), {_DELIVERED},
+        g AS (SELECT o_c_id, coalesce(sum(ol_amount), 0) AS got, count(DISTINCT o_id) AS dn FROM f LEFT JOIN order_line ON ol_o_id = o_id GROUP BY 1)
+        SELECT c_id, CAST(c_balance - coalesce(paid, 0) + coalesce(got, 0) AS DOUBLE) AS c_balance, CAST(10 + coalesce(paid, 0) AS DOUBLE) AS c_ytd_payment, 1 + coalesce(n, 0) AS c_payment_cnt, coalesce(dn, 0) AS c_delivery_cnt,
+        CASE WHEN c_id % 10 = 0 AND n > 0 THEN c_id || ' ' || CAST(CAST(last AS DECIMAL(18,2)) AS VARCHAR) || ' |data' ELSE 'data' END AS c_data FROM cust LEFT JOIN p ON c_id = p.o_c_id LEFT JOIN g ON c_id = g.o_c_id""",
+    "ledger_orders": f"""WITH {_DELIVERED} SELECT o.o_id, o.o_c_id, CAST(CASE WHEN f.o_id IS NOT NULL THEN 7 WHEN o_status = 'O' THEN -1 ELSE o_carrier_id END AS BIGINT) AS o_carrier_id FROM oorder o LEFT JOIN f ON o.o_id = f.o_id""",
+    "ledger_new_order": f"""WITH {_DELIVERED} SELECT o_id, o_c_id % 10 AS o_d_id FROM oorder WHERE o_status = 'O' AND o_id NOT IN (SELECT o_id FROM f)""",
+    "ledger_lines": f"""WITH {_DELIVERED}, l AS (SELECT ol_o_id, CASE WHEN f.o_id IS NOT NULL THEN TIMESTAMP '2002-01-01' WHEN o_status = 'O' THEN NULL ELSE ol_delivery_d END AS d
+        FROM order_line LEFT JOIN oorder o ON ol_o_id = o.o_id LEFT JOIN f ON ol_o_id = f.o_id) SELECT ol_o_id, count(*) AS n_lines, count(d) AS n_delivered, max(d) AS last_delivery FROM l GROUP BY 1""",
+    "ledger_stock": """WITH p AS (SELECT ol_i_id, ol_su_key, list(CAST(ol_quantity AS BIGINT) ORDER BY ol_o_id, ol_number, ol_quantity) AS qs FROM order_line JOIN oorder ON ol_o_id = o_id WHERE o_status = 'O' GROUP BY 1, 2)
+        SELECT s_i_id, s_su_key, CASE WHEN qs IS NULL THEN CAST(s_quantity AS BIGINT) ELSE list_reduce(list_prepend(CAST(s_quantity AS BIGINT), qs), lambda a, q: CASE WHEN a - q >= 10 THEN a - q ELSE a - q + 91 END) END AS s_quantity,
+        CAST(coalesce(list_sum(qs), 0) AS BIGINT) AS s_ytd, CAST(coalesce(len(qs), 0) AS BIGINT) AS s_order_cnt FROM stock LEFT JOIN p ON s_i_id = ol_i_id AND s_su_key = ol_su_key""",
+    "ledger_history": "SELECT o_id AS h_id, o_c_id AS h_c_id, o_c_id % 10 AS h_d_id, CAST(o_id % 5000 + 1 AS DOUBLE) AS h_amount, 'W1    D' || (o_c_id % 10) AS h_data FROM oorder",
     "stream_epochs": "SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS epoch, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1",
     "stream_user_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY 1",
     "event_freshness": """WITH e AS (SELECT floor(epoch(ts) / 21600) AS k, max(ts) AS m FROM events GROUP BY 1), l AS (SELECT (k + 1) * 21600 - epoch_us(m) / 1e6 AS lag FROM e)
