@@ -58,6 +58,31 @@ def order_index_key(w: Column, d: Column, c: Column, o: Column) -> Column:
     return F.shiftleft(district_key(w, d) * CUSTOMERS + _long(c), 32).bitwiseOR(_long(o))
 
 
+def customer_key_to_customer(k: Column) -> Column:
+    """The customer's number in a customer key."""
+    return lower_part(k)
+
+
+def order_index_key_to_customer_key(k: Column) -> Column:
+    """The customer key of an order-index key."""
+    return _numbered_to_customer_key(F.shiftright(k, 32))
+
+
+def _numbered_to_customer_key(numbered: Column) -> Column:
+    """A customer numbered over all districts, as a customer key."""
+    return F.shiftleft(F.floor((numbered - 1) / CUSTOMERS).cast("long"), 32).bitwiseOR((numbered - 1) % CUSTOMERS + 1)
+
+
+def history_key_to_customer_key(k: Column) -> Column:
+    """The customer key of a history key."""
+    return _numbered_to_customer_key(F.shiftright(k, 20))
+
+
+def history_key_to_district_key(k: Column) -> Column:
+    """The key of the district in which a history row was paid."""
+    return k.bitwiseAND(F.lit((1 << 20) - 1))
+
+
 def history_key(cw: Column, cd: Column, c: Column, d: Column, w: Column) -> Column:
     return F.shiftleft(district_key(cw, cd) * CUSTOMERS + _long(c), 20).bitwiseOR(district_key(w, d))
 

@@ -27,6 +27,18 @@ def test_key_round_trips(spark):
     assert df.where((keys.stock_key_to_warehouse(s) != F.col("w")) | (keys.stock_key_to_item(s) != F.col("o"))).count() == 0
 
 
+def test_customer_history_and_order_index_keys_round_trip(spark):
+    df = spark.range(6000).select((F.col("id") % 7 + 1).alias("w"), (F.col("id") % 10 + 1).alias("d"), (F.col("id") * 37 % 3_000 + 1).alias("c"), (F.col("id") * 41 % 9_999 + 1).alias("o"), (F.col("id") % 3 + 1).alias("pw"), (F.col("id") * 3 % 10 + 1).alias("pd"))
+    ck = keys.customer_key(F.col("w"), F.col("d"), F.col("c"))
+    ik = keys.order_index_key(F.col("w"), F.col("d"), F.col("c"), F.col("o"))
+    hk = keys.history_key(F.col("w"), F.col("d"), F.col("c"), F.col("pd"), F.col("pw"))
+    dk = keys.upper_to_district_key(ck)
+    same = (keys.customer_key_to_customer(ck) == F.col("c")) & (keys.district_key_to_warehouse(dk) == F.col("w")) & (keys.district_key_to_district(dk) == F.col("d"))
+    same &= (keys.order_index_key_to_customer_key(ik) == ck) & (keys.lower_part(ik) == F.col("o"))
+    same &= (keys.history_key_to_customer_key(hk) == ck) & (keys.history_key_to_district_key(hk) == keys.district_key(F.col("pw"), F.col("pd")))
+    assert df.where(~same).count() == 0
+
+
 def test_snapshot_keeps_untouched_columns_and_explicit_nulls(spark):
     base = spark.createDataFrame([(1, 10, "x"), (2, 20, "y")], "k long, a long, b string")
     log = spark.createDataFrame([(1, 1, 1, "U", ["a"], 11, None), (2, 1, 1, "U", ["b"], None, None), (3, 1, 2, "D", [], None, None), (2, 5, 3, "I", ["a", "b"], 30, "z")], LOG)
@@ -63,6 +75,30 @@ def test_stock_rule(spark):
     assert [r.r for r in got.collect()] == [45, 100, 10]
 
 
+def test_stock_of_a_batch_is_its_steps_one_by_one(spark):
+    rows = [(i, 1, 10 + (i * 17) % 91, [(i * 7 + j * 13) % 92 for j in range(i % 12)]) for i in range(200)]
+    stock = spark.createDataFrame([(i, w, q) for i, w, q, _ in rows], "s_i_id long, s_su_key long, s_quantity long")
+    lines = spark.createDataFrame([(i, w, x) for i, w, _, xs in rows for x in xs], "ol_i_id long, ol_su_key long, ol_quantity long")
+    want = {}
+    for i, _, q, xs in rows:
+        for x in xs:
+            q = q - x if q - x >= 10 else q - x + 91
+        if xs:
+            want[i] = (q, sum(xs), len(xs))
+    assert {r.s_i_id: (r.s_quantity, r.s_ytd, r.s_order_cnt) for r in transactions.new_order_stock(lines, stock).collect()} == want
+    with pytest.raises(Exception, match="stock of 10 to 100"):
+        transactions.new_order_stock(spark.createDataFrame([(1, 1, 92)], lines.schema), stock).collect()
+
+
+def test_entries_name_what_they_set(spark):
+    base = spark.createDataFrame([(1, 10, "x"), (2, 20, "y")], "k long, a long, b string")
+    rows = spark.createDataFrame([(2, 21, True)], "k int, a int, other boolean")
+    log = transactions.entries(rows, base, key="k", epoch=3).unionByName(transactions.entries(rows.selectExpr("1 as k"), base, key="k", epoch=4, op="D"))
+    assert [tuple(r.changed) for r in log.orderBy("epoch").collect()] == [("a",), ()] and [f.dataType for f in log.schema if f.name in COLUMNS] == [base.schema[x].dataType for x in COLUMNS]
+    at = lambda e: sorted(map(tuple, snapshots.as_of(base, log, e, key="k", columns=COLUMNS).collect()))
+    assert at(2) == [(1, 10, "x"), (2, 20, "y")] and at(3) == [(1, 10, "x"), (2, 21, "y")] and at(4) == [(2, 21, "y")]
+
+
 def test_generated_tables_hold_their_invariants(spark):
     for name, df in (("warehouse", generator.warehouse(spark, 2)), ("district", generator.district(spark, 1)), ("customer", generator.customer(spark, 1)), ("oorder", generator.oorder(spark, 1)), ("order_line", generator.order_line(spark, 1).where("ol_d_id = 1")), ("item", generator.item(spark, 500)), ("stock", generator.stock(spark, 1, 500))):
         found = invariants.violations(df, name).first().asDict()
