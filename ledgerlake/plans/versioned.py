@@ -115,6 +115,14 @@ def index_range(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     return linkjoin.lookup(t.order_line(spark, cfg.sf_dir), 100, 200).groupBy("ol_o_id").agg(F.count("*").alias("n"), F.sum("ol_amount").cast("double").alias("amount"))
 
 
+def index_built(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
+    """The same range scan through an index of the delivered lines to which the others were put later."""
+    lines, at = t.order_line(spark, cfg.sf_dir), scratch(spark, "index")
+    t.build_index(lines.where(c("ol_delivery_d").isNotNull()), at, "ol_o_id")
+    t.put_index(lines.where(c("ol_delivery_d").isNull()), at, "ol_o_id", 1)
+    return linkjoin.lookup(t.read_index(spark, at), 100, 200).groupBy("ol_o_id").agg(F.count("*").alias("n"), F.sum("ol_amount").cast("double").alias("amount"))
+
+
 def link_nested(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
     return linkjoin.nested(linkjoin.nest(t.oorder(spark, cfg.sf_dir), t.order_line(spark, cfg.sf_dir)))
 
@@ -309,6 +317,7 @@ def _snap(v: int, rest: str) -> str:
 _PLAIN = "SELECT o_id, coalesce(CAST(CAST(delivery_d AS DATE) AS VARCHAR), 'never') AS delivery_d, coalesce(carrier, -1) AS carrier, coalesce(last_item, -1) AS last_item FROM snap"
 _SNAPSHOT = _PLAIN + " WHERE op <> 'D'"
 _DELIVERED = "f AS (SELECT o_c_id % 10 AS district, min(o_id) AS o_id, arg_min(o_c_id, o_id) AS o_c_id FROM oorder WHERE o_status = 'O' GROUP BY 1)"
+_IN_RANGE = "SELECT ol_o_id, count(*) AS n, CAST(sum(ol_amount) AS DOUBLE) AS amount FROM order_line WHERE ol_o_id >= 100 AND ol_o_id < 200 GROUP BY 1"
 _LINKED = "SELECT CAST(sum(ol_amount) AS DOUBLE) AS amount, count(*) AS n_lines FROM order_line JOIN oorder ON ol_o_id = o_id"
 SQL = {
     "snapshot_mid": _snap(10, _SNAPSHOT),
@@ -321,7 +330,8 @@ SQL = {
     "col_update": _snap(10, "SELECT CAST(sum(carrier) AS BIGINT) AS total, count(*) AS n, (SELECT count(*) FROM seen) AS versions FROM snap WHERE op <> 'D'"),
     "col_update2": _snap(0, "SELECT CAST(sum(carrier) AS BIGINT) AS total, count(delivery_d) AS delivered FROM snap"),
     "index_lookup": "SELECT count(*) AS n, CAST(sum(ol_o_id) AS BIGINT) AS total FROM order_line WHERE ol_o_id IN (SELECT o_id FROM oorder WHERE o_id < (SELECT max(o_id) * 0.8 FROM oorder))",
-    "index_range": "SELECT ol_o_id, count(*) AS n, CAST(sum(ol_amount) AS DOUBLE) AS amount FROM order_line WHERE ol_o_id >= 100 AND ol_o_id < 200 GROUP BY 1",
+    "index_range": _IN_RANGE,
+    "index_built": _IN_RANGE,
     "link_nested": _LINKED,
     "link_by_key": _LINKED,
     "link_by_range": _LINKED,

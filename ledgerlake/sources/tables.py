@@ -29,6 +29,20 @@ def write(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def build_index(df: DataFrame, path: str, key: str) -> None:
+    """Store rows in ranges of ``key``, sorted: lookups of keys and ranges read the files and row groups that have them."""
+    write(df.repartitionByRange(key).sortWithinPartitions(key), f"{path}/put=0")
+
+
+def put_index(df: DataFrame, path: str, key: str, batch: int) -> None:
+    """Add rows to an index as batch 1, 2, ...; doing a batch again replaces it."""
+    write(df.repartitionByRange(key).sortWithinPartitions(key), f"{path}/put={batch}")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("put")
+
+
 def line_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines before any delivery, and the log of their deliveries; a line is known by a hash of what never changes."""
     c = F.col

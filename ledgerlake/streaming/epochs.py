@@ -83,11 +83,23 @@ class EpochPipeline:
         every = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log")
         return every.join(self.marks().select("batch"), "batch", "left_semi").drop("batch")
 
+    def staleness(self, schema: str) -> DataFrame:
+        """Seconds from the newest entry that readers may see until now (null: they see none)."""
+        seen = F.max(F.col(self.ts).cast("timestamp"))
+        return self.readable(schema).agg((F.unix_micros(F.current_timestamp()) - F.unix_micros(seen)).alias("us")).select((F.col("us") / 1e6).alias("stale_s"))
+
     def readable(self, schema: str) -> DataFrame:
         """The entries that readers may see: of committed batches, and not ahead of the read epoch."""
         return self.log(schema).where(F.col("epoch") <= self.read_epoch())
 
 
+def report(query: StreamingQuery) -> dict[str, float]:
+    """What a stream did in its last batches (as many as Spark keeps): batches, entries, seconds, entries a second."""
+    done = [p for p in query.recentProgress if p.numInputRows]
+    entries, seconds = sum(p.numInputRows for p in done), sum(p.durationMs.get("triggerExecution", 0) for p in done) / 1000
+    return {"batches": len(done), "entries": entries, "seconds": seconds, "per_second": entries / seconds if seconds else 0.0}
+
+
 def freshness(log: DataFrame, epoch_seconds: int, *, ts: str = "ts") -> DataFrame:
     """How far each epoch's end is past its newest entry, in seconds: most, least, mean and median over the epochs."""
     newest = log.groupBy("epoch").agg(F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("us"))

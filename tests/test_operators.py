@@ -10,7 +10,7 @@ from ledgerlake.functions import generators, keys
 from ledgerlake.operators import invariants, linkjoin, snapshots, transactions
 from ledgerlake.plans import analytics, versioned
 from ledgerlake.sources import generator, tables
-from ledgerlake.streaming.epochs import EpochPipeline, freshness
+from ledgerlake.streaming.epochs import EpochPipeline, freshness, report
 
 COLUMNS = ("a", "b")
 LOG = "epoch long, seq long, k long, op string, changed array<string>, a long, b string"
@@ -159,7 +159,10 @@ def test_stream_reads_files_in_batches(spark, tmp_path):
         spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), i)], "epoch long, ts timestamp_ntz, v long").write.mode("append").parquet(str(tmp_path / "in"))
     pipe = EpochPipeline(spark, str(tmp_path / "p"))
     stream = spark.readStream.schema("epoch long, ts timestamp_ntz, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    pipe.start(stream).awaitTermination()
+    query = pipe.start(stream)
+    query.awaitTermination()
+    told = report(query)
+    assert told["batches"] == 3 and told["entries"] == 3 and told["per_second"] > 0
     log = pipe.log("epoch long, ts timestamp_ntz, v long")
     assert log.agg(F.sum("v")).first()[0] == 3 and pipe.marks().count() >= 3
     assert freshness(log, 3600).first().epochs >= 1
@@ -192,6 +195,27 @@ def test_stream_epochs_do_not_depend_on_the_number_of_files(spark, tmp_path):
     assert got == want
 
 
+def test_staleness_is_measured_against_the_clock(spark, tmp_path):
+    pipe = EpochPipeline(spark, str(tmp_path / "p"), hold=1)
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)  # the session's zone is UTC
+    schema = "epoch long, ts timestamp_ntz, v long"
+    pipe.commit(spark.createDataFrame([(1, now - dt.timedelta(hours=2), 1), (2, now, 2)], schema), 0)
+    assert 7200 <= pipe.staleness(schema).first()[0] < 7500  # epoch 2 can't be read yet
+    pipe.finish()
+    assert 0 <= pipe.staleness(schema).first()[0] < 300
+
+
+def test_index_answers_after_puts_and_a_put_done_again(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7 % 500).alias("k"), F.col("id").alias("v"))
+    at = str(tmp_path / "index")
+    tables.build_index(rows.where("v < 600"), at, "k")
+    for _ in range(2):
+        tables.put_index(rows.where("v >= 600"), at, "k", 1)
+    got = tables.read_index(spark, at).where("k between 10 and 12")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.where("k between 10 and 12").collect()))
+    assert "GreaterThanOrEqual(k,10)" in got._jdf.queryExecution().toString()
+
+
 def test_config_overrides_defaults():
     cfg = EngineConfig("x", params={"nation": "N"})
     assert cfg["nation"] == "N" and cfg["carrier_over"] == 3
