@@ -9,11 +9,14 @@ likeness is the share of equal bins, corrected for bins that agree by chance.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import materialize
 from ledgerlake.llm.native_words import gram_hashes, word_hashes, words
 
 BINS, BITS, SHINGLE = 256, 4, 5
@@ -94,10 +97,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, columns: list[str], *, key: str = "k", tie: str = "text", rows_per_bucket: int = 20_000, most_buckets: int = 65_536) -> DataFrame:
-    """Add next_<column> of the following row, by descending ``key`` and then ``tie``; the last row's is the first row.
+    """Add next_<column> of the following row, by descending ``key`` and then by a hash of ``tie``; the last row's is the first row.
 
     Rows are dealt to key ranges at approximate quantiles (at most ``most_buckets``, so what passes the driver is
-    bounded); each range also gets a copy of the first row of the range after it, and windows stay inside ranges.
+    bounded); each range also gets a copy of the first row of the range after it, and windows stay inside ranges. A key
+    that is a quantile more than once is cut up by the hash, as often as it is one. Rows of such a key that are equal
+    in all columns are next to each other, so one of them takes part and the others are each their own next.
     """
     spark = df.sparkSession
     n = df.count()
@@ -105,17 +110,47 @@ def with_next(df: DataFrame, columns: list[str], *, key: str = "k", tie: str = "
     buckets = max(1, min(want, most_buckets, n // 4))
     cuts = df.select(F.percentile_approx(F.col(key), [i / buckets for i in range(1, buckets)] or [0.5], max(10_000, 4 * buckets))).first()[0] or []
     splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
-    ranged = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket").transform(df.withColumn("__at", F.col(key).cast("double"))).drop("__at")
-    ranged = ranged.withColumn("__bucket", F.col("__bucket").cast("int"))
-    heads = sorted(((r[0], r[1]) for r in ranged.groupBy("__bucket").agg(F.max(key)).collect()), reverse=True)
-    sent = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # the first range's goes to the last
-    first_of = F.broadcast(spark.createDataFrame(sent, "__head long, __to int"))  # at most most_buckets rows
-    j = ranged.join(first_of, F.col(key) == F.col("__head"), "left")
+    hot = {c: times for c, times in Counter(cuts).items() if times > 1}  # at most half as many as buckets
+    named = df.columns
+    repeats = None
+    if hot:
+        keys = F.broadcast(spark.createDataFrame([(c,) for c in hot], f"`{key}` long"))
+        same = materialize(df.join(keys, key, "left_semi").groupBy(*named).agg(F.count("*").alias("__rows")), "repeated")
+        df = df.join(keys, key, "left_anti").select(*named).union(same.select(*named))
+        repeats = _copies(same.where("__rows > 1").withColumn("__rows", F.col("__rows") - 1)).select(*named, *(F.col(c).alias(f"next_{c}") for c in columns))
+    ranged = Bucketizer(splits=splits, inputCol="__at", outputCol="__range").transform(df.withColumn("__at", F.col(key).cast("double")))
+    ranged = ranged.select(*named, F.col("__range").cast("int").alias("__range"), F.xxhash64(tie).alias("__h"))
+    part = F.lit(0)
+    if hot:
+        at: dict[int, list[tuple[int, int]]] = {}
+        for c, times in hot.items():
+            at.setdefault(bisect_right(splits, float(c)) - 1, []).append((c, times))
+        inside = spark.createDataFrame(list(at.items()), "__range int, __hot array<struct<key: long, times: int>>")
+        ranged = ranged.join(F.broadcast(inside), "__range", "left")
+        above = F.aggregate(F.filter("__hot", lambda x: x["key"] > F.col(key)), F.lit(0), lambda s, x: s + x["times"] + 1)
+        times = F.get(F.filter("__hot", lambda x: x["key"] == F.col(key)), F.lit(0))["times"]
+        cut = F.least(F.floor((0.5 - F.col("__h") / F.lit(2.0**64)) * times), times - 1) + 1
+        part = F.coalesce(above, F.lit(0)) + F.coalesce(cut, F.lit(0)).cast("int")
+    ranged = ranged.select(*named, "__h", F.struct(F.col("__range").alias("range"), part.alias("part")).alias("__bucket"))
+    firsts = ranged.groupBy("__bucket").agg(F.max(F.struct(F.col(key).alias("key"), F.col("__h").alias("h"))).alias("first"))
+    heads = sorted(((r["first"]["key"], r["first"]["h"], tuple(r["__bucket"])) for r in firsts.collect()), reverse=True)
+    sent = [(k, h, heads[i - 1][2]) for i, (k, h, _) in enumerate(heads)]  # the first range's goes to the last
+    first_of = F.broadcast(spark.createDataFrame(sent, "__head long, __head_h long, __to struct<range: int, part: int>"))  # a row a range
+    j = ranged.join(first_of, (F.col(key) == F.col("__head")) & (F.col("__h") == F.col("__head_h")), "left")
     places = F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("copy")), F.struct(F.col("__to").alias("b"), F.lit(True).alias("copy")))
-    j = j.select(*df.columns, F.explode(F.filter(places, lambda x: x["b"].isNotNull())).alias("__p"))
-    w = Window.partitionBy("__p.b").orderBy(F.col("__p.copy"), F.col(key).desc(), F.col(tie))
-    j = j.select(*df.columns, F.col("__p.copy").alias("__copy"), *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
-    return j.where(~F.col("__copy")).drop("__copy")
+    j = j.select(*named, "__h", F.explode(F.filter(places, lambda x: x["b"].isNotNull())).alias("__p"))
+    w = Window.partitionBy("__p.b").orderBy(F.col("__p.copy"), F.col(key).desc(), F.col("__h").desc(), F.col(tie))
+    j = j.select(*named, F.col("__p.copy").alias("__copy"), *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
+    out = j.where(~F.col("__copy")).drop("__copy")
+    return out if repeats is None else out.unionByName(repeats)
+
+
+def _copies(rows: DataFrame, at_once: int = 10_000) -> DataFrame:
+    """Each row as many times as its ``__rows`` says, no task more than a few times ``at_once`` of one row."""
+    lot = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / at_once)))
+    lots = rows.withColumn("__lot", lot).repartition(F.xxhash64(*rows.columns), "__lot")
+    times = F.least(F.col("__rows") - F.col("__lot") * at_once, F.lit(at_once))
+    return lots.withColumn("__lot", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("__rows", "__lot")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +159,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document, by descending doc_id; after the last comes the first. Null text counts as empty and texts without words
     have the empty fingerprint, alike (1) only with another such; a null id sorts last; rows of equal id are ordered
-    by their text; an only document is its own next; an empty table gives no rows; other columns aren't read.
+    by a hash of their text, so equal rows are next to each other; an only document is its own next; an empty table gives no rows; other columns aren't read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from ledgerlake.llm import components, fingerprints, similarity_join, substring_dedup
 
@@ -150,3 +151,80 @@ def test_fingerprints_awkward_rows(spark, odd, empty):
     assert by[5].fingerprint == by[6].fingerprint and by[2].fingerprint == by[3].fingerprint == by[1].fingerprint == ""
     alone = fingerprints.fingerprint_documents(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0 and 0 <= alone.near_edited <= 1
+
+
+def as_signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(values, size):
+    """Spark's xxhash64 of several integers of ``size`` bytes: each one's hash seeds the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v % (1 << 8 * size)).to_bytes(size, "little"), seed)
+    return seed
+
+
+def plain_fingerprint(ws):
+    """The fingerprint of a text's words, bin by bin."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+    if not h:
+        return ""
+    bins = {}
+    for x in [chained(h[i : i + 5], 8) for i in range(len(h) - 4)] if len(h) >= 5 else [chained(h, 8)]:
+        bins[x >> 56] = min(x, bins.get(x >> 56, x))
+
+    def value(b):
+        if b in bins:
+            return bins[b]
+        walk = (as_signed(chained((b, t), 4)) % 256 for t in range(1, 9))
+        return next((bins[x] for x in walk if x in bins), None) or bins[min(bins, key=lambda v: as_signed(chained((b, v, 8), 4)))]
+
+    return "".join(f"{value(b) & 15:x}" for b in [*range(128, 256), *range(128)])
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+    return max((same - 1 / 16) / (1 - 1 / 16), 0.0)
+
+
+def plain_documents(rows, words):
+    """Fingerprints of (id, text) rows: descending id, then the hash of the text."""
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], as_signed(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
+    known = {}
+    mark = lambda t: known.setdefault(t, plain_fingerprint(words(t)))
+    for i, (d, text) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        f = [mark(t) for t in (text, edited, following)]
+        yield d, len(text), hashlib.sha256(edited.encode()).hexdigest(), f[0], f[1], round(plain_likeness(f[0], f[1]), 9), round(plain_likeness(f[0], f[2]), 9)
+
+
+def fingerprint_rows(df):
+    got = fingerprints.fingerprint_documents(df).collect()
+    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str)
+
+
+def test_fingerprints_match_brute_force(spark, sf, words, odd):
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        assert fingerprint_rows(df) == sorted(plain_documents(rows, words), key=str)
+
+
+def test_fingerprints_of_hot_ids(spark, words, monkeypatch):
+    """A third of all rows without an id, a third with one id (some of them equal in all), ids beyond 2**53."""
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 14)))
+    rows = [(None, text()) for _ in range(700)] + [(None, "all of these are the same") for _ in range(800)]
+    rows += [(7, text()) for _ in range(500)] + [(7, None) for _ in range(900)] + [((1 << 60) + i // 3, text()) for i in range(600)]
+    rows += [((1 << 60) + 5, text()) for _ in range(500)] + [((1 << 60) + 9, text()) for _ in range(500)] + [(i, text()) for i in range(-100, 500)]
+    monkeypatch.setattr(fingerprints._copies, "__defaults__", (100,))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    tasks = []
+    plain = fingerprints.materialize
+    monkeypatch.setattr(fingerprints, "materialize", lambda df, name: tasks.append(name) or plain(df, name))
+    assert fingerprint_rows(df) == sorted(plain_documents(rows, words), key=str)
+    assert tasks == ["repeated"]
