@@ -228,6 +228,28 @@ def test_extraction_awkward_rows(spark, page_model):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of one text, word by word."""
+    raw = text.encode()
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [tuple(w) for x in raw.split(b"\n") if (w := re.findall(rb"[^\x20\x09-\x0D]+", x))]
+    size, n = max(len(raw), 1), max(len(ws), 1)
+    per = lambda chars, of: sum(raw.count(c.encode()) for c in chars) / of
+    grams = [[tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)] for k in (1, 2, 4)]
+    lengths = [len(w) for w in ws]
+    kinds = [per("ABCDEFGHIJKLMNOPQRSTUVWXYZ", size), per("0123456789", size), *(per(c, n) for c in ("#*$%&|<>@^~=+_{}[]\\/`", "!?", ".;:", ",")), sum(b > 127 for b in raw) / size, raw.count(b"\n") / n]
+    apart = [len(set(g)) / max(len(g), 1) for g in grams]
+    same = sum(a == b for a, b in itertools.pairwise(ws)) / n
+    return [np.log1p(len(raw)), np.log1p(len(ws)), sum(lengths) / n, np.std(lengths or [0]), np.log1p(max(lengths, default=0)), *kinds, *apart, same, len(set(lines)) / max(len(lines), 1)]
+
+
+def test_statistics_match_brute_force(spark, sf, odd):
+    texts = [r.text or "" for r in odd.collect()] + [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += ["a a\n\n a a \nb\x0bc\r\n a a", " lead", "x", "\n\n", "#1! A.B, c; 中 文 中 文", "one\ntwo\none"]
+    assert len(quality_model.STATISTICS) == len(plain_statistics(""))
+    assert np.allclose(quality_model.statistics(pa.array(texts)), [plain_statistics(t) for t in texts], atol=1e-6)
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = registry.op9_quality_classifier(spark, sf)
